@@ -44,21 +44,29 @@ def cell_tokens(folded: Column) -> Column:
     return F.array_distinct(F.filter(F.split(folded, r"[^a-z0-9\x{4e00}-\x{9fff}]+"), lambda t: t != ""))
 
 
-def cell_similarity(left: Column, right: Column, kind: Column) -> Column:
+def cell_parts(cell: Column) -> Column:
+    """Struct of folded text, tokens and first number of a cell, for repeated comparison."""
+    folded = fold_cell(cell)
+    return F.struct(folded.alias("text"), cell_tokens(folded).alias("tokens"),
+                    F.regexp_extract(folded, NUMBER, 0).try_cast("double").alias("number"))
+
+
+def parts_similarity(a: Column, b: Column, kind: Column) -> Column:
     """1 for equal cells; graded closeness for numbers; otherwise token Jaccard."""
-    a, b = fold_cell(left), fold_cell(right)
-    na = F.regexp_extract(a, NUMBER, 0).try_cast("double")
-    nb = F.regexp_extract(b, NUMBER, 0).try_cast("double")
+    na, nb, ta, tb = a["number"], b["number"], a["tokens"], b["tokens"]
     scale = F.greatest(F.abs(na), F.abs(nb))
     rel = F.abs(na - nb) / F.nullif(scale, F.lit(0.0))
     numeric = (F.when(scale == 0, 1.0).when(rel <= NEAR, 1.0).when(rel <= CLOSE, 0.6).otherwise(0.0))
-    ta, tb = cell_tokens(a), cell_tokens(b)
-    union = F.size(F.array_union(ta, tb))
-    jaccard = F.when((F.size(ta) == 0) | (F.size(tb) == 0), 0.0).otherwise(F.size(F.array_intersect(ta, tb)) / union)
-    return (F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0)
+    common = F.size(F.array_intersect(ta, tb))
+    jaccard = F.when((F.size(ta) == 0) | (F.size(tb) == 0), 0.0).otherwise(common / (F.size(ta) + F.size(tb) - common))
+    return (F.when(a["text"] == b["text"], 1.0).when((a["text"] == "") | (b["text"] == ""), 0.0)
             .when((kind == "numeric") & na.isNotNull() & nb.isNotNull(), numeric).otherwise(jaccard))
 
 
+def cell_similarity(left: Column, right: Column, kind: Column) -> Column:
+    return parts_similarity(cell_parts(left), cell_parts(right), kind)
+
+
 def quote_in(text: Column, quote: Column) -> Column:
     """True when the quote occurs in the text after white-space folding of both."""
     return F.contains(squash_space(F.coalesce(text, F.lit(""))), squash_space(quote))

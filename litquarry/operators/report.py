@@ -4,8 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from litquarry.scale import global_rank
+
 
 def reportable(evidence: DataFrame) -> DataFrame:
     """Current, valid rows that are pending or approved."""
     return evidence.where(F.col("is_current") & (F.col("validation_status") == "VALID")
                           & F.col("review_status").isin("PENDING", "APPROVED"))
+
+
+MAX_REPORTABLE = 100_000
+
+
+def reportable_order() -> list:
+    c = F.col
+    return [F.when(c("review_status") == "APPROVED", 0).otherwise(1), c("model_confidence").desc_nulls_last(),
+            c("updated_at").desc(), c("evidence_id")]
+
+
+def reportable_ordered(evidence: DataFrame, limit: int = MAX_REPORTABLE) -> DataFrame:
+    """Reportable rows, approved and confident first; the row limit is part of the report contract."""
+    return reportable(evidence).orderBy(*reportable_order()).limit(min(max(limit, 1), MAX_REPORTABLE))
+
+
+def rank_reportable(evidence: DataFrame) -> DataFrame:
+    """Position of every row in report order, ranked on narrow keys over all tasks."""
+    narrow = evidence.select("evidence_id", "review_status", "model_confidence", "updated_at")
+    return global_rank(narrow, [], reportable_order(), "rank")

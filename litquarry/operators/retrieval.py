@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from litquarry.functions.core import round_half_up, tokens
-from litquarry.scale import block_count, is_small, small_side
+from litquarry.scale import block_count, is_small, small_side, spread
 
 K1 = 1.2
 B = 0.75
@@ -44,7 +44,7 @@ class InvertedIndex:
 def build_index(docs: DataFrame, doc_id: str, fields: dict[str, Column]) -> InvertedIndex:
     """Tokenise each field and count terms; one shuffle, by document."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), *[c.alias(f) for f, c in fields.items()])
-    rows = narrow.repartition("doc_id").select(
+    rows = spread(narrow, "doc_id").select(
         "doc_id",
         F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in fields])).alias("x"),
     )

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["retrieval_queries", "function_queries", "corpus_queries"]
+MODULES = ["retrieval_queries", "function_queries", "corpus_queries", "evidence_queries"]
 
 
 def load_all() -> None:

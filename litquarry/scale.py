@@ -104,3 +104,12 @@ def exact_median(df: DataFrame, group: list[str], value: str, out: str = "median
 
 def block_count(rows: int, block_rows: int) -> int:
     return max(1, -(-rows // block_rows))
+
+
+def spread(df: DataFrame, *keys: Column | str) -> DataFrame:
+    """Hash-partition ``df`` into the configured number of shuffle partitions.
+
+    For steps whose cost is computation per row rather than bytes: adaptive execution merges
+    partitions by size and would leave such a step to few tasks; a fixed number is not merged.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
