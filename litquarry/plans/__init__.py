@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-MODULES = ["retrieval_queries", "function_queries", "corpus_queries", "evidence_queries"]
+MODULES = ["retrieval_queries", "function_queries", "corpus_queries", "evidence_queries", "window_queries",
+           "report_queries"]
 
 
 def load_all() -> None:
