@@ -265,7 +265,8 @@ def _field_keys(part: Column, header: str, threshold: float, gold: bool) -> Colu
     bucket = F.floor(F.log(F.abs(num)) / F.log(F.lit(1.25)))
     sign = F.when(num < 0, "#-").otherwise("#")
     buckets = F.array(*[F.concat(sign, (bucket + d).cast("string")) for d in ((0,) if gold else (-1, 0, 1))])
-    tagged = lambda *tags: F.flatten(F.array(*[F.transform(words, lambda w, t=t: F.concat(F.lit(t), w)) for t in tags]))
+    tag = lambda t: F.transform(words, lambda w: F.concat(F.lit(t), w))
+    tagged = lambda *tags: F.flatten(F.array(*[tag(t) for t in tags]))
     own, other = ("a:", "b:") if gold else ("b:", "a:")
     return F.when(num.isNull(), tagged(other, "c:")).otherwise(
         F.concat(F.when(num == 0, F.array(F.lit("#zero"))).otherwise(buckets), tagged(own)))

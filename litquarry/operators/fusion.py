@@ -192,3 +192,14 @@ def expand_with_chunks(doc_hits: DataFrame, priority: DataFrame) -> DataFrame:
         doc_hits.withColumnRenamed("rank", "doc_rank").join(priority, "document_id", "left")
         .withColumn("rank", F.row_number().over(w)).drop("doc_rank", "chunk_rank")
     )
+
+
+def effective_judgments(judgments: DataFrame) -> DataFrame:
+    """Label after human override."""
+    return judgments.withColumn("effective_label", F.coalesce(nz("override_label"), F.col("label")))
+
+
+def reuse_judgments(target: DataFrame, source: DataFrame, experiment_id) -> DataFrame:
+    """Copy a source experiment's judgments; documents already judged in the target keep theirs."""
+    copied = source.withColumn("experiment_id", F.lit(experiment_id)).select(*target.columns)
+    return target.unionByName(copied.join(target.select("experiment_id", "document_id"), ["experiment_id", "document_id"], "left_anti"))
