@@ -206,20 +206,20 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = 0.0,
         nv = block_count(vectors.count(), BLOCK_ROWS)
         nq = block_count(queries.count(), BLOCK_ROWS)
         left = narrow.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(nv))).withColumn(
-            "qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long"))
-        right = queries.select("query_id", "vector").withColumn(
-            "qb", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn(
-            "vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).cast("long"))
+            "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
+        right = queries.select("query_id", F.col("vector").alias("q_vector")).withColumn(
+            "q_qb", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn(
+            "q_vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nv - 1).cast("long"))))
 
         def pair(a: pa.Table, b: pa.Table) -> pa.Table:
             if a.num_rows == 0 or b.num_rows == 0:
                 return pa.Table.from_batches([emit([], [], [])])
             ids = np.array(a.column("id").to_pylist())
             return pa.Table.from_batches([emit(*_local_top(
-                b.column("query_id").to_pylist(), _matrix(b.column("vector"), b.num_rows), ids,
+                b.column("query_id").to_pylist(), _matrix(b.column("q_vector"), b.num_rows), ids,
                 _matrix(a.column("vector"), a.num_rows), k, min_score, exclude_self))])
 
-        hits = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(pair, schema)
+        hits = left.groupBy("qb", "vb").cogroup(right.groupBy("q_qb", "q_vb")).applyInArrow(pair, schema)
     return top_k(hits, ["query_id"], "id", k)
 
 
