@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from litquarry.functions.core import ratio, round_half_up, tokens
+from litquarry.scale import cut
 from litquarry.functions.identifiers import clean_keyword, keyword_key
 
 # Words that never make a keyword and phrases that come first.
@@ -48,7 +49,8 @@ def class_tfidf(texts: DataFrame, max_ngram: int = 1, stop: list[str] | None = N
     words = tokens("text") if not stop else F.filter(tokens("text"), lambda w: ~w.isin(stop))
     base = texts.select("topic", words.alias("_w"))
     grams = F.concat(*[ngrams(F.col("_w"), n) for n in range(1, max_ngram + 1)]) if max_ngram > 1 else F.col("_w")
-    tf = base.select("topic", F.explode(grams).alias("term")).groupBy("topic", "term").agg(F.count("*").alias("tf"))
+    # read four times below, so the texts are tokenised once and the counts kept
+    tf = cut(base.select("topic", F.explode(grams).alias("term")).groupBy("topic", "term").agg(F.count("*").alias("tf")))
     per_class = tf.groupBy("topic").agg(F.sum("tf").alias("_ct"))
     per_term = tf.groupBy("term").agg(F.sum("tf").alias("_ft"))
     mean = per_class.agg(F.avg("_ct").alias("_a"))
