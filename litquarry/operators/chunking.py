@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from litquarry.functions.core import is_blank
 from litquarry.functions.pages import contains_any
 from litquarry.operators.scan import BLOCK, blocked_scan, jump_summary
-from litquarry.scale import global_rank
+from litquarry.scale import cut, global_rank
 
 TARGET_TOKENS, MAX_TOKENS, OVERLAP = 700, 900, 1
 CONTEXT_SECTIONS = ["abstract", "摘要", "method", "材料", "方法", "result", "结果", "table", "figure"]
@@ -151,7 +151,7 @@ def chunk(units: DataFrame, target: int = TARGET_TOKENS, maximum: int = MAX_TOKE
         return pd.DataFrame(out, columns=CHUNK_SCHEMA.names)
 
     packed = blocked_scan(rows, key, summarise, emit, CHUNK_SCHEMA, start=1, block=max(block, 1), halo=reach)
-    return _number(packed, key)
+    return _number(cut(packed), key)  # read for numbering as well as for output
 
 
 def _number(packed: DataFrame, key: list[str]) -> DataFrame:

@@ -7,19 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from litquarry.functions import pages as pg
 
 
-def named_parts(parts: DataFrame) -> DataFrame:
-    """Compound naming inputs (original, standard, category, description, structure) from parts."""
-    c = F.col
-    k, size = c("p_partkey"), c("p_size").cast("string")
-    original = (F.when(k % 5 == 0, F.concat(F.lit("Compound  No. "), size, F.lit("b"))).when(k % 5 == 1, F.concat(size, F.lit("a")))
-                .when(k % 5 == 2, F.concat(F.lit("Ethanol extract of "), c("p_name")))
-                .when(k % 5 == 3, F.concat(c("p_name"), F.lit(" ("), size, F.lit(")"))).otherwise(F.concat(c("p_name"), F.lit(" oil"))))
-    return parts.select(
-        "p_partkey", original.alias("original"), F.when(k % 5 == 3, F.concat(c("p_type"), F.lit(" (2) "))).alias("standard"),
-        F.when(k % 2 == 0, "Plant source").otherwise(c("p_brand")).alias("category"),
-        F.when(k % 3 == 0, F.concat(c("p_name"), F.lit(", leaf  crude"))).alias("descr"), c("p_type").alias("structure"))
-
-
 def page_layer_report(pages: DataFrame) -> DataFrame:
     """Text-layer status per document from its pages' character counts."""
     layer = pages.select("document_id", pg.text_layer("text").alias("layer"))

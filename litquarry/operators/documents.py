@@ -242,8 +242,8 @@ def check_extractions(extractions: DataFrame, documents: DataFrame) -> DataFrame
     j = extractions.join(documents.select("document_id", "text"), "document_id").withColumn("loc", loc)
     first = j.groupBy("document_id", F.lower("question").alias("_q")).agg(F.min("question_no").alias("_first"))
     out = j.withColumn("_q", F.lower("question")).join(first, ["document_id", "_q"])
-    return out.select("document_id", "question_no", F.when(is_blank("question"), "EMPTY_QUESTION").when(F.col("question_no") != F.col("_first"), "DUPLICATE_QUESTION").otherwise(
-        F.col("loc.status")).alias("status"), F.col("loc.start_offset").alias("start_offset"))
+    status = F.when(is_blank("question"), "EMPTY_QUESTION").when(F.col("question_no") != F.col("_first"), "DUPLICATE_QUESTION").otherwise(F.col("loc.status"))
+    return out.select("document_id", "question_no", status.alias("status"), F.when(status == "OK", F.col("loc.start_offset")).alias("start_offset"))
 
 
 def embedding_status(members: DataFrame) -> DataFrame:

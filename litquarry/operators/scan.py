@@ -54,17 +54,24 @@ def blocked_scan(rows: DataFrame, group: list[str], summarise: Callable[[pd.Data
             count += add
         return pd.DataFrame(out, columns=[*group, "_b", "_entry", "_count"])
 
+    if long_groups.isEmpty():
+        ready = placed.withColumn("_entry", F.lit(start).cast("long")).withColumn("_count", F.lit(0).cast("long"))
+        return ready.groupBy(*group, "_b").applyInPandas(_emitter(emit, schema), schema)
     entry_schema = T.StructType(gfields + [T.StructField(n, T.LongType()) for n in ("_b", "_entry", "_count")])
     summaries = placed.join(long_groups, group, "left_semi").groupBy(*group, "_b").applyInPandas(run_summary, link)
     entries = summaries.groupBy(*group).applyInPandas(chain, entry_schema)
     ready = placed.join(entries, [*group, "_b"], "left").na.fill({"_entry": start, "_count": 0})
 
+    return ready.groupBy(*group, "_b").applyInPandas(_emitter(emit, schema), schema)
+
+
+def _emitter(emit, schema: T.StructType):
     def run_emit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", ignore_index=True)
         own = int((pdf["_own"] == pdf["_b"].iloc[0]).sum())
         return emit(pdf, own, int(pdf["_entry"].iloc[0]), int(pdf["_count"].iloc[0]))[schema.names]
 
-    return ready.groupBy(*group, "_b").applyInPandas(run_emit, schema)
+    return run_emit
 
 
 def jump_summary(jumps: Callable[[pd.DataFrame, int], Callable[[int], int]], reach: int):

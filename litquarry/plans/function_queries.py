@@ -12,6 +12,20 @@ from litquarry.sources.tables import table
 
 c = F.col
 
+
+def named_parts(parts):
+    """Compound naming inputs (original, standard, category, description, structure) from parts."""
+    k, size = c("p_partkey"), c("p_size").cast("string")
+    original = (F.when(k % 5 == 0, F.concat(F.lit("Compound  No. "), size, F.lit("b"))).when(k % 5 == 1, F.concat(size, F.lit("a")))
+                .when(k % 5 == 2, F.concat(F.lit("Ethanol extract of "), c("p_name")))
+                .when(k % 5 == 3, F.concat(c("p_name"), F.lit(" ("), size, F.lit(")"))).otherwise(F.concat(c("p_name"), F.lit(" oil"))))
+    return parts.select(
+        "p_partkey", original.alias("original"), F.when(k % 5 == 3, F.concat(c("p_type"), F.lit(" (2) "))).alias("standard"),
+        F.when(k % 2 == 0, "Plant source").otherwise(c("p_brand")).alias("category"),
+        F.when(k % 3 == 0, F.concat(c("p_name"), F.lit(", leaf  crude"))).alias("descr"), c("p_type").alias("structure"))
+
+
+
 # ---- DOI, keys, ids ------------------------------------------------------------------------------
 RAW = """raw AS (SELECT doc_id, CASE doc_id % 4
     WHEN 0 THEN ' https://doi.org/10.' || (1000 + doc_id) || '/AB.' || source || '.,'
@@ -70,9 +84,7 @@ def f4(spark, d):
                                           ce.table_row_fingerprint(cells).alias("table_fp"))
 
 
-@query("f5_name_uuid", """SELECT chunk_id, substr(h,1,8)||'-'||substr(h,9,4)||'-3'||substr(h,14,3)||'-'||
-    translate(substr(h,17,1),'0123456789abcdef','89ab89ab89ab89ab')||substr(h,18,3)||'-'||substr(h,21,12) AS uuid
-    FROM (SELECT chunk_id, md5(chunk_id) AS h FROM chunks)""".join(["", ""]) if False else sql(
+@query("f5_name_uuid", sql(
     """SELECT chunk_id, substr(h,1,8)||'-'||substr(h,9,4)||'-3'||substr(h,14,3)||'-'||
     translate(substr(h,17,1),'0123456789abcdef','89ab89ab89ab89ab')||substr(h,18,3)||'-'||substr(h,21,12) AS uuid
     FROM (SELECT chunk_id, md5(chunk_id) AS h FROM chunks)""", "lines", "chunks"))
@@ -140,7 +152,7 @@ NAMES = """names AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Compound
       CASE WHEN descr IS NOT NULL THEN trim(substr(descr, instr(descr, ',') + 1)) END AS part,
       CASE WHEN original LIKE 'Ethanol%' THEN 'ethanol' ELSE 'unspecified' END AS solvent FROM names)""", extra=NAMES))
 def f8(spark, d):
-    t = co.named_parts(table(spark, d, "part"))
+    t = named_parts(table(spark, d, "part"))
     kind = ids.name_kind(c("original"), c("standard"), c("category"), c("descr"), c("structure"))
     return t.withColumn("kind", kind).select(
         "p_partkey", "kind", ids.compound_key(c("p_partkey"), c("kind"), c("original"), c("standard"), c("descr")).alias("key"))
@@ -209,14 +221,6 @@ def f11_similarity(spark, d):
         "document_id", core.round_half_up(ids.title_similarity("title", "other")).alias("similarity"))
 
 
-KW = """kw AS (SELECT doc_id, list_distinct(list_filter(list_transform(string_split_regex(trim(regexp_replace(lower(replace(
-    split_part(text, chr(10), 1), ',', ';')), '\\s+', ' ', 'g')), '\\s*[;•·]\\s*'), lambda k: trim(trim(k, ' .;,:/-'))), lambda k:
-    length(k) BETWEEN 2 AND 120 AND len(regexp_extract_all(k, '\\p{L}')) >= 2 AND len(regexp_extract_all(k, '\\p{Nd}')) <=
-    len(regexp_extract_all(k, '\\p{L}')) AND len(string_split_regex(k, '\\s+')) <= 14 AND NOT regexp_matches(lower(k),
-    'copyright|grant.award|will notify|volume:|issue:|correspondence|department|university|fax|e-mail|email|telephone|received|accepted|published|doi:|http'))) AS ks
-    FROM documents)"""
-
-
 @query("f12_keyword_split", None)
 def f12(spark, d):
     """Keywords of the first line with commas read as list marks; checked by hand-written cases."""

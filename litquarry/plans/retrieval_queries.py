@@ -12,7 +12,6 @@ from litquarry.sources.tables import table
 
 K = 50
 BOOSTS = {"title": 3.0, "section": 2.0, "text": 1.0}
-FIELDS = {"title": F.col, "section": F.col, "text": F.col}
 
 
 def _doc_index(spark, d):
@@ -164,9 +163,6 @@ def r6(spark, d):
 # ---- three routes and their fusion ---------------------------------------------------------------
 # lexical hits are chunks; dense hits stand for documents; text match gives priority chunks
 
-ROUTES_SQL = ",\n".join([
-    "posting_docs AS (SELECT 1)", ])
-
 
 def _bm25_chunk_route(spark, d, queries, route):
     hits = rt.bm25(_chunk_index(spark, d), queries, ["experiment_id", "query_no"], K, {"text": 1.0})
@@ -425,7 +421,7 @@ def r14(spark, d):
         ov.document_id=cd.document_id AND ov.chunk_id=ch.chunk_id) AS pref FROM cd JOIN chunks ch USING (document_id)
         JOIN docs dd USING (document_id)) k) x
       ON x.experiment_id=c.experiment_id AND x.document_id=c.document_id AND n <= 5
-     GROUP BY c.experiment_id, c.document_id, doc_rank)""".replace("max(q) ||", "max(q) ||").replace(
+     GROUP BY c.experiment_id, c.document_id, doc_rank)""".replace(
     "|| section_path ||", "|| trim(section_path) ||").replace("|| text,", "|| trim(text),"), *HV, extra=ALL + ",\n" + RERANK))
 def r14_text(spark, d):
     titled = chunks(spark, d).join(docs(spark, d).select("document_id", "title"), "document_id")
