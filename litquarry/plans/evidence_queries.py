@@ -302,7 +302,7 @@ def _claims(spark, d):
 
 # ---- matching ------------------------------------------------------------------------------------
 MATCH_PROFILE = ev.Profile("Q1", ("Compound", "Activity data", "Organism"), (0, 1))
-GOLD = """gr AS (SELECT l_orderkey AS document_id, l_returnflag AS question_id, p_name || ' ' || lower(p_type) AS a, 'ec50 ' || CAST(l_quantity AS INT) AS b, s_name AS o, l_linenumber FROM lineitem
+GOLD = """gr AS (SELECT l_orderkey AS document_id, l_returnflag AS question_id, p_name || ' ' || lower(p_type) AS a, 'mic ' || CAST(l_quantity AS INT) AS b, s_name AS o, l_linenumber FROM lineitem
     JOIN part ON p_partkey=l_partkey JOIN supplier ON s_suppkey=l_suppkey),
  pd AS (SELECT document_id, question_id, CASE WHEN l_linenumber % 3 = 0 THEN split_part(a, ' ', 1) || ' extra ' || split_part(a, ' ', 3) ELSE a END AS a,
     CASE WHEN l_linenumber % 4 = 0 THEN 'about ' || CAST(floor(CAST(split_part(b, ' ', 2) AS INT) * 1.1) AS INT) ELSE b END AS b, o FROM gr WHERE l_linenumber <> 2),
@@ -319,7 +319,7 @@ def _gold_pred(spark, d):
     q = c("l_quantity").cast("int")
     a = F.concat_ws(" ", "p_name", F.lower("p_type"))
     g = t.select(c("l_orderkey").alias("document_id"), c("l_returnflag").alias("question_id"), a.alias("a"),
-                 F.concat(F.lit("EC50 "), q.cast("string")).alias("b"), c("s_name").alias("o"), "l_linenumber", q.alias("q"))
+                 F.concat(F.lit("MIC "), q.cast("string")).alias("b"), c("s_name").alias("o"), "l_linenumber", q.alias("q"))
     gold = g.select("document_id", "question_id", F.array("a", "b", "o").alias("cells"), "l_linenumber")
     w = lambda n: F.split_part(c("a"), F.lit(" "), F.lit(n))
     pa = F.when(c("l_linenumber") % 3 == 0, F.concat_ws(" ", w(1), F.lit("extra"), w(3))).otherwise(c("a"))
@@ -374,7 +374,7 @@ def a16(spark, d):
 
 
 FIELD_PAIRS = """fp AS (SELECT l_orderkey, p_name AS g1, CASE WHEN l_linenumber % 3 = 0 THEN p_type || ' ' || p_name WHEN l_linenumber = 5 THEN '' ELSE p_name END AS p1,
-    'ec50 ' || CAST(l_quantity AS INT) AS g2, 'ec50 ' || CAST(floor(l_quantity * (1 + l_tax * 4)) AS INT) AS p2 FROM lineitem JOIN part ON p_partkey=l_partkey)"""
+    'mic ' || CAST(l_quantity AS INT) AS g2, 'mic ' || CAST(floor(l_quantity * (1 + l_tax * 4)) AS INT) AS p2 FROM lineitem JOIN part ON p_partkey=l_partkey)"""
 
 
 @query("a17_field_outcomes", sql(f"""SELECT field, kind, count(*) FILTER (s>=0.92) AS correct, count(*) FILTER (s>=0.55 AND s<0.92) AS partial, count(*) FILTER (s<0.55 AND p<>'') AS wrong,
@@ -384,7 +384,7 @@ FIELD_PAIRS = """fp AS (SELECT l_orderkey, p_name AS g1, CASE WHEN l_linenumber
 def a17(spark, d):
     t = table(spark, d, "lineitem", "l_partkey", "l_linenumber", "l_quantity", "l_tax").join(table(spark, d, "part", "p_partkey", "p_name", "p_type"), c("l_partkey") == c("p_partkey"))
     p1 = F.when(c("l_linenumber") % 3 == 0, F.concat_ws(" ", "p_type", "p_name")).when(c("l_linenumber") == 5, "").otherwise(c("p_name"))
-    num = lambda x: F.concat(F.lit("EC50 "), x.cast("int").cast("string"))
+    num = lambda x: F.concat(F.lit("MIC "), x.cast("int").cast("string"))
     pairs = t.select(F.array("p_name", num(c("l_quantity"))).alias("gold_cells"), F.array(p1, num(F.floor(c("l_quantity") * (1 + c("l_tax") * 4)))).alias("pred_cells"))
     return ev.field_outcomes(pairs, ["Compound", "Activity data"])
 

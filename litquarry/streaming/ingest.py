@@ -98,7 +98,9 @@ def usage_stream(events: DataFrame, watermark: str = "10 minutes", window: str =
 
     ``events(ts, phase, model, tokens, elapsed_ms)``; also runs on a batch frame.
     """
-    e = events.withWatermark("ts", watermark) if events.isStreaming else events
+    e = events
+    if events.isStreaming:  # a watermark needs a zoned timestamp
+        e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     return e.groupBy(F.window("ts", window).alias("w"), "phase", "model").agg(
         F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), F.sum("elapsed_ms").alias("elapsed_ms")).select(
         F.col("w.start").alias("window_start"), "phase", "model", "calls", "tokens", "elapsed_ms")
