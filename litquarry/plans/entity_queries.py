@@ -339,6 +339,6 @@ def r16(spark, d):
         F.explode(F.slice(tokens("title"), 1, 3)).alias("entity")).where(F.length("entity") >= 9).groupBy("entity").agg(F.count("*").alias("n")).orderBy(
         c("n").desc(), "entity").limit(5)
     gold_entities = q.select("experiment_id").join(F.broadcast(gold), F.lit(True)).select("experiment_id", (-c("n")).alias("entity_no"), "entity")
-    families = {"BASELINE": q, "EXPANDED": s, "REVIEW_ENTITY": ex.entity_queries(q, s, _entities(spark, d), 3),
-                "GOLD_ENTITY": ex.entity_queries(q, s, gold_entities, 3)}
+    families = {"BASELINE": q, "EXPANDED": s, "REVIEW_ENTITY": ex.entity_queries(q, s, _entities(spark, d), 1),
+                "GOLD_ENTITY": ex.entity_queries(q, s, gold_entities, 1)}
     return run_experiment(chunks(spark, d), families, labelled(spark, d))

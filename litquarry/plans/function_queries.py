@@ -341,7 +341,7 @@ def f21(spark, d):
 
 
 @query("f22_table_candidates", sql(r"""SELECT document_id, chunk_index AS page_number, source, kind, count(*) AS n FROM (SELECT *, 'TEXT_CAPTION' AS source,
-    CASE WHEN chunk_index % 3 = 0 THEN 'ACTIVITY' WHEN chunk_index % 3 = 1 THEN 'FORMULATION' ELSE 'UNKNOWN' END AS kind FROM chunks WHERE length(text) <= 60
+    CASE WHEN chunk_index % 3 = 0 OR regexp_matches(text, '(?i)EC\s*50|IC\s*50|MIC|CTC|fungicidal|activity|inhibition') THEN 'ACTIVITY' WHEN chunk_index % 3 = 1 THEN 'FORMULATION' ELSE 'UNKNOWN' END AS kind FROM chunks WHERE length(text) <= 60
     UNION ALL SELECT *, 'TEXT_MATRIX', 'ACTIVITY' FROM chunks WHERE chunk_index % 3 = 0 AND length(text) <= 60) GROUP BY ALL""", "lines", "chunks"))
 def f22(spark, d):
     """Short lines are given a caption in front so that every rule fires somewhere."""
