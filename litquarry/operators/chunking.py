@@ -22,6 +22,10 @@ def _tokens(ascii_chars: float, wide: float) -> int:
     return max(1, math.ceil(ascii_chars / 4) + int(wide)) if ascii_chars + wide > 0 else 0
 
 
+def _ascii(text: str) -> int:
+    return len(text.encode("ascii", "ignore"))
+
+
 def split_units(units: DataFrame, title: str | None = None, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Units longer than a chunk become several parts at white space; ``part`` numbers them.
 
@@ -32,15 +36,15 @@ def split_units(units: DataFrame, title: str | None = None, max_tokens: int = MA
             out = []
             for row in pdf.itertuples(index=False):
                 head = _prefix(getattr(row, "title", None), row.section_path)
-                base = (sum(c <= "\x7f" for c in head), sum(c > "\x7f" for c in head))
-                size = lambda s: _tokens(base[0] + sum(c <= "\x7f" for c in s), base[1] + sum(c > "\x7f" for c in s))
+                base = (_ascii(head), len(head) - _ascii(head))
+                size = lambda s: _tokens(base[0] + _ascii(s), base[1] + len(s) - _ascii(s))
                 if size(row.text) <= max_tokens:
                     out.append((*row, 0))
                     continue
                 a = w = n = 0
                 words: list[str] = []
                 for word in re.split(r"\s+", row.text):
-                    wa, ww = sum(c <= "\x7f" for c in word), sum(c > "\x7f" for c in word)
+                    wa, ww = _ascii(word), len(word) - _ascii(word)
                     gap = 1 if words else 0
                     if words and _tokens(base[0] + a + gap + wa, base[1] + w + ww) > max_tokens:
                         out.append((*row._replace(text=" ".join(words)), n))
@@ -89,11 +93,11 @@ def chunk(units: DataFrame, target: int = TARGET_TOKENS, maximum: int = MAX_TOKE
     def plan(pdf: pd.DataFrame):
         """Function (start, units already in) -> (end, next start, next units in)."""
         texts = pdf["text"].tolist()
-        wide = np.array([sum(c > "\x7f" for c in t) for t in texts])
+        wide = np.array([len(t) - _ascii(t) for t in texts])
         size = np.array([len(t) for t in texts])
-        ca, cw = np.concatenate([[0], np.cumsum(size - wide + 1)]), np.concatenate([[0], np.cumsum(wide)])
+        ca, cw = np.concatenate([[0], np.cumsum(size - wide + 1)]).tolist(), np.concatenate([[0], np.cumsum(wide)]).tolist()
         head = _prefix(pdf["title"].iloc[0], pdf["section_path"].iloc[0])
-        ha, hw = sum(c <= "\x7f" for c in head), sum(c > "\x7f" for c in head)
+        ha, hw = _ascii(head), len(head) - _ascii(head)
         tok = lambda i, j: _tokens(ha + ca[j] - ca[i] - 1, hw + cw[j] - cw[i])
         n = len(texts)
 
@@ -138,13 +142,12 @@ def chunk(units: DataFrame, target: int = TARGET_TOKENS, maximum: int = MAX_TOKE
         step, n = plan(pdf)
         s, k = divmod(entry, base)
         out = []
+        group = [pdf[g].iloc[0] for g in key]
+        texts, ords, paragraphs, sentence = (pdf[x].tolist() for x in ("text", "ord", "paragraph", "sentence"))
         while s < own and s < n:
             e, s2, k2 = step(s, k)
-            run = pdf.iloc[s:e]
             count += 1
-            a, z = run.iloc[0], run.iloc[-1]
-            out.append((a["document_id"], a["content_type"], a["section_path"], count, a["ord"], a["paragraph"], a["sentence"],
-                        z["sentence"], e - s, " ".join(run["text"])))
+            out.append((*group, count, ords[s], paragraphs[s], sentence[s], sentence[e - 1], e - s, " ".join(texts[s:e])))
             if e >= n:
                 break
             s, k = s2, k2
