@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from litquarry.functions.core import is_blank
 from litquarry.functions.pages import contains_any
 from litquarry.operators.scan import BLOCK, blocked_scan, jump_summary
-from litquarry.scale import cut, global_rank
+from litquarry.scale import cut, global_rank, spread
 
 TARGET_TOKENS, MAX_TOKENS, OVERLAP = 700, 900, 1
 CONTEXT_SECTIONS = ["abstract", "摘要", "method", "材料", "方法", "result", "结果", "table", "figure"]
@@ -84,7 +84,7 @@ def chunk(units: DataFrame, target: int = TARGET_TOKENS, maximum: int = MAX_TOKE
     cols = [*key, "title", "ord", "paragraph", "sentence", "text"]
     have = units if "title" in units.columns else units.withColumn("title", F.lit(None).cast("string"))
     have = have.na.fill("", ["content_type", "section_path"])
-    parts = split_units(have.where(~is_blank("text")).select(*cols), max_tokens=maximum)
+    parts = split_units(spread(have.where(~is_blank("text")).select(*cols), "document_id", "ord"), max_tokens=maximum)
     rows = global_rank(parts, key, [F.col("ord"), F.col("part")], "pos")
     # one token is at least two characters of a unit and its blank
     reach = 4 * maximum + overlap + 1

@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from litquarry.scale import spread
+
 BLOCK = 4096
 
 
@@ -56,13 +58,13 @@ def blocked_scan(rows: DataFrame, group: list[str], summarise: Callable[[pd.Data
 
     if long_groups.isEmpty():
         ready = placed.withColumn("_entry", F.lit(start).cast("long")).withColumn("_count", F.lit(0).cast("long"))
-        return ready.groupBy(*group, "_b").applyInPandas(_emitter(emit, schema), schema)
+        return spread(ready, *group, "_b").groupBy(*group, "_b").applyInPandas(_emitter(emit, schema), schema)
     entry_schema = T.StructType(gfields + [T.StructField(n, T.LongType()) for n in ("_b", "_entry", "_count")])
     summaries = placed.join(long_groups, group, "left_semi").groupBy(*group, "_b").applyInPandas(run_summary, link)
     entries = summaries.groupBy(*group).applyInPandas(chain, entry_schema)
     ready = placed.join(entries, [*group, "_b"], "left").na.fill({"_entry": start, "_count": 0})
 
-    return ready.groupBy(*group, "_b").applyInPandas(_emitter(emit, schema), schema)
+    return spread(ready, *group, "_b").groupBy(*group, "_b").applyInPandas(_emitter(emit, schema), schema)
 
 
 def _emitter(emit, schema: T.StructType):
