@@ -1,4 +1,4 @@
-"""What several operators share: tables, held-out split, bounded samples, registry."""
+"""What several operators share: registry, words, held-out split, bounded samples, batch size."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 WHITE = r"[\x20\x09-\x0D]+"  # what separates words
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = 4 << 20  # text handed to a Python worker at once
 
 
 def register(name: str, oracle: str | None = None):
@@ -21,6 +22,11 @@ def register(name: str, oracle: str | None = None):
     return add
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches end at BATCH_BYTES, so that many long rows never meet in a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows kept from every learner: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
@@ -48,7 +54,7 @@ def clean_labels(labels: DataFrame, column: str) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: dict[int, int]) -> DataFrame:
-    """Texts of about ``per_class[label]`` labelled documents of each class, chosen by a hash of the id."""
+    """Rows of ``docs`` with ``label``: about ``per_class[label]`` labelled documents of each class, chosen by a hash of the id."""
     lab = clean_labels(labels, column)
     counts = {r["label"]: r["count"] for r in lab.groupBy("label").count().where(F.col("label").isin(*per_class)).collect()}
     keep = F.lit(False)
