@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from litquarry.llm import language_id, line_cleaning, mixing, url_filter
+from litquarry.llm import language_id, line_cleaning, mixing, packing, records, url_filter
 from litquarry.llm.common import register
 from litquarry.sources.tables import table
 
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def _sql(text: str) -> str:
     """A pattern as an SQL string."""
     return text.replace("'", "''")
@@ -123,3 +128,14 @@ FROM p
 @register("op10_url_filter", SQL_URLS)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages", "page_id", "url", "html"), URL_RULES)
+
+
+@register("op2_best_fit_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.cut_into_pieces(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("word_bpe_49k.json")))
+
+
+@register("op3_token_records")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, index = records.write_dataset(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+    return index.select("doc_id", "start", "n_tokens", "ids_crc32", "path", "position")

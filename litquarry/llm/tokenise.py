@@ -1,39 +1,57 @@
 """Token ids of whole texts by a public tokenizer, with the ids of words already seen taken from a bounded table.
 
 A space between two characters that are not white space always begins a new pre-token of both tokenizers, so a text
-may be cut there and the parts' ids joined. Parts repeat; only new ones reach the tokenizer.
+may be cut there and the parts' ids joined. Parts repeat; only words not met before reach the tokenizer's model.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
+import sys
+from array import array
+from collections.abc import Iterator
 from functools import cache
 
-import numpy as np
 import regex
 
-TABLE_LIMIT = 200_000  # parts remembered before the table is emptied, about 40 MB
+GENERATION = 300_000  # entries of a table's younger half, about 60 MB
 SLICE = 1 << 18  # characters looked at at once
 SPLIT = re.compile(r"(?<=\S) (?=\S)")
-UNEVEN = re.compile(r"\s | \s|^ | $")
+SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+UNEVEN = [s + " " for s in SPACES] + [" " + s for s in SPACES]  # where a single space may not begin a pre-token
 PLAIN = re.compile("[\x00-ɏ]*")  # code points whose letter class and lower case no Unicode version changed
 SPECIAL = "<|"  # how special tokens begin
 BYTE_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 LOWER_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # punctuation that is one pre-token behind a word
+
+
+def byte_letters() -> dict[int, str]:
+    """The character by which byte-level vocabularies write each byte: itself if printable, else the next above 255."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes. ``lowered``: the tokenizer lower-cases and drops white space."""
+    """Ids as little-endian unsigned 32-bit bytes. ``lowered``: the tokenizer lower-cases and drops white space.
+
+    Each table has a younger and an older half; what is used moves to the younger, and the older half goes when the
+    younger is full. So memory is bounded, and frequent parts stay.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.lowered = self.tokenizer.normalizer is not None
+        self.find = LOWER_WORDS.findall if self.lowered else BYTE_WORDS.findall
+        self.letters = byte_letters()
         self.parts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text; null is empty. Long texts go through in slices cut between words."""
@@ -44,38 +62,49 @@ class Encoder:
         return b"".join(map(self._slice, slices(text)))
 
     def _slice(self, text: str) -> bytes:
-        units = text.split(" ") if not UNEVEN.search(text) else SPLIT.split(text)
-        if not self.lowered:  # every part but the first begins with its space
-            first, units = units[0], [" " + u for u in units[1:]]
-            units.insert(0, first)
+        even = text[0] != " " and text[-1] != " " and not any(p in text for p in UNEVEN)
+        units = text.split(" ") if even else SPLIT.split(text)
+        if not self.lowered and len(units) > 1:  # every part but the first begins with its space
+            units = (units[0] + "\0 " + "\0 ".join(units[1:])).split("\0") if "\0" not in text else [units[0], *[" " + u for u in units[1:]]]
         parts = self.parts
-        try:
-            return b"".join(map(parts.__getitem__, units))
-        except KeyError:
-            pass
-        if len(parts) > TABLE_LIMIT:
-            parts.clear()
-        self._learn({u for u in units if u not in parts})
+        if len(parts) > GENERATION:
+            self.old_parts, self.parts = parts, {}
+            parts = self.parts
+        old, part = self.old_parts, self._part
+        for u in set(units).difference(parts):
+            parts[u] = old[u] if u in old else part(u)
         return b"".join(map(parts.__getitem__, units))
 
-    def _learn(self, units: Iterable[str]) -> None:
-        split, words = {}, self.words
-        if len(words) > TABLE_LIMIT:
-            words.clear()
-        find = LOWER_WORDS.findall if self.lowered else BYTE_WORDS.findall
-        new, whole = set(), []
-        for u in units:
-            if SPECIAL in u or not PLAIN.fullmatch(u):
-                whole.append(u)
-                continue
-            split[u] = own = find(u.lower() if self.lowered else u)
-            new.update(w for w in own if w not in words)
-        fresh = list(new)
-        for table, keys in ((words, fresh), (self.parts, whole)):
-            for key, e in zip(keys, self.tokenizer.encode_batch(keys, add_special_tokens=False) if keys else ()):
-                table[key] = np.array(e.ids, "<u4").tobytes()
-        for u, own in split.items():
-            self.parts[u] = b"".join(map(words.__getitem__, own))
+    def _part(self, unit: str) -> bytes:
+        if SPECIAL in unit or not (unit.isascii() or PLAIN.fullmatch(unit)):
+            return as_bytes(self.tokenizer.encode(unit, add_special_tokens=False).ids)
+        if self.lowered:
+            unit = unit.lower().strip(" ")
+        core = unit.rstrip(MARKS)
+        if core and (core[1:] if core[0] == " " else core).isalpha():
+            return self._word(core) + self._word(unit[len(core):]) if len(core) < len(unit) else self._word(core)
+        return b"".join(map(self._word, self.find(unit)))
+
+    def _word(self, word: str) -> bytes:
+        words = self.words
+        if word in words:
+            return words[word]
+        if word in self.old_words:
+            known = self.old_words[word]
+        else:
+            spelled = word.encode().decode("latin1").translate(self.letters)
+            known = as_bytes([t.id for t in self.tokenizer.model.tokenize(spelled)])
+        if len(words) > GENERATION:
+            self.old_words, self.words = words, {}
+        self.words[word] = known
+        return known
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder != "little":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 def slices(text: str) -> Iterator[str]:
