@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from litquarry.llm import language_id, line_cleaning, mixing, packing, records, url_filter
+from litquarry.llm import language_id, line_cleaning, mixing, packing, quality, records, toxicity, url_filter
 from litquarry.llm.common import register
 from litquarry.sources.tables import table
 
@@ -139,3 +139,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, index = records.write_dataset(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"))
     return index.select("doc_id", "start", "n_tokens", "ids_crc32", "path", "position")
+
+
+@register("op1_quality_machine")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@register("op9_toxicity_chain")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
