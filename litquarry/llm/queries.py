@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from litquarry.llm import language_id, line_cleaning, mixing, packing, quality, records, toxicity, url_filter
+from litquarry.llm import language_id, line_cleaning, mixing, packing, quality, records, simhash, toxicity, url_filter
 from litquarry.llm.common import register
 from litquarry.sources.tables import table
 
@@ -151,3 +151,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@register("op4_simhash_links")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
