@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from litquarry.llm import language_id, line_cleaning, mixing, packing, quality, records, simhash, toxicity, url_filter
+from litquarry.llm import language_id, line_cleaning, maxscore, mixing, packing, quality, records, simhash, toxicity, url_filter
 from litquarry.llm.common import register
 from litquarry.sources.tables import table
 
@@ -156,3 +156,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_simhash_links")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+SQL_TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.e, v.e), lambda x: x[1] * x[2])) AS BIGINT) AS score
+      FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+
+@register("op6_maxscore_top_k", SQL_TOP_K)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
