@@ -104,6 +104,11 @@ def search_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ro
     ahead = np.concatenate([ahead, np.zeros((len(queries), 1))], axis=1)  # most that the dimensions from here on add
     out = []
     for i in range(len(queries)):
+        # the best so far by essential dimensions, scored in full, raise the score to beat
+        some = np.argpartition(partial[i], len(ids) - SEEDS)[-SEEDS:] if len(ids) > SEEDS else np.arange(len(ids))
+        scores = (rows[some] @ queries[i])[ids[some] != query_ids[i]]
+        if len(scores) >= k:
+            threshold[i] = max(threshold[i], np.partition(scores, len(scores) - k)[len(scores) - k])
         alive = np.flatnonzero(partial[i] + ahead[i, essential[i]] >= threshold[i])
         score = partial[i][alive].astype(np.float64)
         for a in range(essential[i], width, STEP):
