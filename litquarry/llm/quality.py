@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from litquarry.llm.common import bounded_batches, clean_labels, held_out, labelled_sample
 from litquarry.llm.features import STATS, words_and_structure
@@ -115,15 +115,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs:
     return m
 
 
-def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``.
-
-    A null text is empty, and an empty one has a score from its statistics. Repeated rows give repeated results. Only
-    text and, where there is one, n_chars are inputs; other columns are not read.
-    """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(machine)  # about 1.2 MB whatever the data
+def score_column(docs: DataFrame, machine: Machine) -> Column:
+    """The score of each row of ``docs``, from its text and, where there is one, its n_chars."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # about 1.2 MB whatever the data
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -132,6 +127,14 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
             rows = entries(*raw_features(texts.reset_index(drop=True), stated), m.edges)
             yield pd.Series(sigmoid(m.score(*rows, len(texts))))
 
-    stated = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), run("text", stated).alias("score")).withColumn(
+    return run(F.col("text"), F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long"))
+
+
+def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of ``docs``.
+
+    A null text is empty, and an empty one has a score from its statistics. Repeated rows give repeated results. Only
+    text and, where there is one, n_chars are inputs; other columns are not read.
+    """
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(docs, machine).alias("score")).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))
