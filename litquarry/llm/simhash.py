@@ -61,7 +61,7 @@ def spread_hash(h: np.ndarray, k: int) -> np.ndarray:
     """The k-th 64 bits of a wider hash; the first are the hash itself."""
     if k == 0:
         return h
-    h = (h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(32))
