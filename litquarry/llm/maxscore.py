@@ -75,7 +75,8 @@ def search_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ro
     width = max(queries.shape[1], rows.shape[1])
     queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
     rows = np.pad(rows, ((0, 0), (0, width - rows.shape[1])))
-    limit = float(np.abs(queries).sum(axis=1).max(initial=0) * np.abs(rows).max(initial=0))
+    with np.errstate(over="ignore"):
+        limit = float(np.abs(queries).sum(axis=1).max(initial=0) * np.abs(rows).max(initial=0))
     if limit >= 2 ** 53:
         return _search_large(query_ids, queries, ids, rows, k)
     if limit < 2 ** 24:  # then single precision is exact
@@ -128,12 +129,12 @@ def _best(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 def _search_large(query_ids, queries, ids, rows, k):
-    """Values too large for doubles: whole numbers of any size, a result past 64 bits is held at the end of that range."""
+    """Values too large for doubles: whole numbers of any size; a score past 64 bits counts as the end of that range."""
     big_q, big_r = ([[int(x) for x in row] for row in m] for m in (queries, rows))
     out = []
     for i, q in enumerate(big_q):
-        scored = sorted(((-sum(a * b for a, b in zip(q, r)), j) for r, j in zip(big_r, ids.tolist()) if j != query_ids[i]))[:k]
-        out += [(i, j, max(-LONG - 1, min(LONG, -s))) for s, j in scored]
+        scored = sorted((-max(-LONG - 1, min(LONG, sum(a * b for a, b in zip(q, r)))), j) for r, j in zip(big_r, ids.tolist()) if j != query_ids[i])[:k]
+        out += [(i, j, -s) for s, j in scored]
     return tuple(np.array(x, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
