@@ -15,7 +15,7 @@ from functools import cache
 
 import regex
 
-GENERATION = 300_000  # entries of a table's younger half, about 60 MB
+GENERATION = 220_000  # entries of a table's younger half, about 40 MB
 SLICE = 1 << 18  # characters looked at at once
 SPLIT = re.compile(r"(?<=\S) (?=\S)")
 SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
@@ -63,9 +63,13 @@ class Encoder:
 
     def _slice(self, text: str) -> bytes:
         even = text[0] != " " and text[-1] != " " and not any(p in text for p in UNEVEN)
-        units = text.split(" ") if even else SPLIT.split(text)
-        if not self.lowered and len(units) > 1:  # every part but the first begins with its space
-            units = (units[0] + "\0 " + "\0 ".join(units[1:])).split("\0") if "\0" not in text else [units[0], *[" " + u for u in units[1:]]]
+        if self.lowered:
+            units = text.split(" ") if even else SPLIT.split(text)
+        elif even and "\0" not in text:  # every part but the first begins with its space
+            units = text.replace(" ", "\0 ").split("\0")
+        else:
+            first, *rest = SPLIT.split(text)
+            units = [first, *[" " + u for u in rest]]
         parts = self.parts
         if len(parts) > GENERATION:
             self.old_parts, self.parts = parts, {}
@@ -92,7 +96,8 @@ class Encoder:
         if word in self.old_words:
             known = self.old_words[word]
         else:
-            spelled = word.encode().decode("latin1").translate(self.letters)
+            plain = word.isascii() and word.isprintable()
+            spelled = word.replace(" ", self.letters[32]) if plain else word.encode().decode("latin1").translate(self.letters)
             known = as_bytes([t.id for t in self.tokenizer.model.tokenize(spelled)])
         if len(words) > GENERATION:
             self.old_words, self.words = words, {}
