@@ -10,7 +10,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 WHITE = r"[\x20\x09-\x0D]+"  # what separates words
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH_BYTES = 4 << 20  # text handed to a Python worker at once
+BATCH_BYTES = 1 << 20  # text handed to a Python worker at once
 
 
 def register(name: str, oracle: str | None = None):

@@ -16,7 +16,7 @@ from litquarry.llm.textvec import sigmoid
 BUCKETS = 1 << 14
 BINS = 12  # of each statistic, by quantiles of the sample
 RANK = 8
-PER_CLASS = 5000  # labelled documents of each class to fit on, about
+PER_CLASS = 3000  # labelled documents of each class to fit on, about
 THRESHOLD = 0.7
 FEATURES = len(STATS) + 1  # and the stated length
 
@@ -52,8 +52,9 @@ def entries(doc: np.ndarray, bucket: np.ndarray, value: np.ndarray, stats: np.nd
     """Sparse rows: word shares, and a one in the bin of each statistic."""
     n, m = stats.shape
     bins = np.stack([np.searchsorted(edges[j], stats[:, j], "right") for j in range(m)], axis=1)
-    column = BUCKETS + np.arange(m) * (BINS + 1) + bins
-    return (np.concatenate([doc, np.repeat(np.arange(n), m)]), np.concatenate([bucket, column.ravel()]), np.concatenate([value, np.ones(n * m)]))
+    column = (BUCKETS + np.arange(m) * (BINS + 1) + bins).astype(np.int32)
+    return (np.concatenate([doc, np.repeat(np.arange(n, dtype=np.int32), m)]), np.concatenate([bucket, column.ravel()]),
+            np.concatenate([value, np.ones(n * m, np.float32)]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs: int = 12, seed: int = 7) -> Machine:
@@ -84,16 +85,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs:
     stats = np.array(rows["stats"].tolist())
     edges = np.quantile(stats, np.arange(1, BINS + 1) / (BINS + 1), axis=0).T
     lengths = rows["bucket"].map(len).to_numpy()
-    row, column, value = entries(np.repeat(np.arange(len(rows)), lengths), np.concatenate(rows["bucket"].tolist()).astype(np.int64),
-                                 np.concatenate(rows["value"].tolist()).astype(float), stats, edges)
+    row, column, value = entries(np.repeat(np.arange(len(rows), dtype=np.int32), lengths), np.concatenate(rows["bucket"].tolist()),
+                                 np.concatenate(rows["value"].tolist()), stats, edges)
+    y = rows["label"].to_numpy(float)
+    n, rows = len(rows), None
     order = np.argsort(row, kind="stable")
     row, column, value = row[order], column[order], value[order]
-    starts = np.searchsorted(row, np.arange(len(rows) + 1))
-    y = rows["label"].to_numpy(float)
+    starts = np.searchsorted(row, np.arange(n + 1))
     m = Machine(edges, 0.0, np.zeros(size), rng.normal(0, 0.02, (size, RANK)))
     grad_linear, grad_factors, grad_bias = np.full(size, 1e-6), np.full((size, RANK), 1e-6), 1e-6
     for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 128)):
+        for batch in np.array_split(rng.permutation(n), max(1, n // 128)):
             at = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in batch])
             r = np.repeat(np.arange(len(batch)), starts[batch + 1] - starts[batch])
             c, x = column[at], value[at]
