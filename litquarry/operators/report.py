@@ -8,7 +8,6 @@ from litquarry.functions import pages as pg
 from litquarry.functions.core import first_non_blank, nz, ratio, round_half_up
 from litquarry.scale import cut, exact_median, global_rank
 
-MAX_REPORTABLE = 100_000
 SAMPLES = 5
 UNSPECIFIED = "unspecified"
 # Field weights of the evidence score and of the document score.
@@ -34,9 +33,10 @@ def reportable_order() -> list[Column]:
             c("updated_at").desc(), c("evidence_id")]
 
 
-def reportable_ordered(evidence: DataFrame, limit: int = MAX_REPORTABLE) -> DataFrame:
-    """Reportable rows, approved and confident first; the row limit is part of the report contract."""
-    return reportable(evidence).orderBy(*reportable_order()).limit(min(max(limit, 1), MAX_REPORTABLE))
+def reportable_ordered(evidence: DataFrame, limit: int | None = None) -> DataFrame:
+    """Reportable rows, approved and confident first: all of them, or the first ``limit``."""
+    ordered = reportable(evidence).orderBy(*reportable_order())
+    return ordered if limit is None else ordered.limit(max(limit, 1))
 
 
 def rank_reportable(evidence: DataFrame) -> DataFrame:
@@ -232,34 +232,45 @@ def potency(observations: DataFrame) -> DataFrame:
 
 # ---- selections ----------------------------------------------------------------------------------
 
+STEP_ROWS = 1000  # rows that one step of a pick reads
+
+
 def diverse_selection(scored: DataFrame, max_rows: int = 90, max_compounds: int = 50, per_compound: int = 3,
                       compounds_per_document: int = 5) -> DataFrame:
-    """Score-ordered pick that bounds rows per compound and new compounds per document.
+    """Score-ordered pick that bounds rows per compound and new compounds per document, over all rows.
 
-    A skipped compound may come back through another document, so the pick is one pass in order. The
-    candidates are at most MAX_REPORTABLE narrow rows, sorted in Spark and read until the pick is full.
+    Whether a row may be picked depends on the picks before it, so the pick goes in steps. Spark filters all rows
+    behind the last one read to those that the picks so far allow and returns the first STEP_ROWS of them; the first
+    of these is always picked, so there are at most ``max_rows`` steps however many rows a compound has.
     """
-    order = [F.col("score").desc(), F.col("updated_at").desc_nulls_last(), F.col("evidence_id").asc()]
-    narrow = scored.select("evidence_id", compound_key().alias("k"), "document_id", "score", "updated_at").orderBy(*order).limit(MAX_REPORTABLE)
-    rows_of: dict[str, int] = {}
-    in_doc: dict = {}
-    picked = []
-    for r in narrow.select("evidence_id", "k", "document_id").toLocalIterator():
-        if len(picked) >= max_rows:
+    c = F.col
+    when = F.unix_micros(c("updated_at").cast("timestamp"))
+    place = F.struct(c("score").isNull(), -F.coalesce(c("score").cast("double"), F.lit(0.0)), when.isNull(), -F.coalesce(when, F.lit(0)), c("evidence_id").cast("string"))
+    rows = scored.select("evidence_id", compound_key().alias("k"), "document_id", place.alias("place"))
+    taken: dict[str, int] = {}
+    opened: dict = {}
+    picks: list = []
+    last = None
+    while len(picks) < max_rows:
+        full = [k for k, n in taken.items() if n == per_compound]
+        closed = [d for d, ks in opened.items() if len(ks) == compounds_per_document and d is not None]
+        known = c("k").isin([k for k in taken if k not in full])
+        fresh = F.lit(False) if len(taken) == max_compounds else ~c("k").isin(list(taken)) & ~F.coalesce(c("document_id").isin(closed), F.lit(False))
+        left = rows.where(known | fresh)
+        if last is not None:
+            left = left.where(c("place") > F.struct(*map(F.lit, last)))
+        step = left.orderBy("place").limit(STEP_ROWS).collect()
+        for r in step:
+            have, here = taken.get(r.k, 0), opened.setdefault(r.document_id, set())
+            first_of_k = have == 0 and len(taken) < max_compounds and len(here) < compounds_per_document
+            if len(picks) < max_rows and (0 < have < per_compound or first_of_k):
+                taken[r.k] = have + 1
+                here.update([r.k] if first_of_k else [])
+                picks.append((r.evidence_id, len(picks) + 1))
+        if len(step) < STEP_ROWS:
             break
-        n = rows_of.get(r.k, 0)
-        if n >= per_compound:
-            if len(rows_of) >= max_compounds and all(v >= per_compound for v in rows_of.values()):
-                break
-            continue
-        if n == 0:
-            here = in_doc.setdefault(r.document_id, set())
-            if len(rows_of) >= max_compounds or len(here) >= compounds_per_document:
-                continue
-            here.add(r.k)
-        rows_of[r.k] = n + 1
-        picked.append((r.evidence_id, len(picked) + 1))
-    return scored.sparkSession.createDataFrame(picked, "evidence_id string, position long")
+        last = step[-1].place
+    return scored.sparkSession.createDataFrame(picks, "evidence_id string, position long")
 
 
 NOVELTY = {"source": 4.0, "compound": 8.0, "document": 3.0, "organism": 3.0}

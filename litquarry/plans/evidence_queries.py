@@ -405,9 +405,9 @@ def j9(spark, d):
 
 # ---- filters and joins ---------------------------------------------------------------------------
 @query("p2_reportable_evidence", sql("""SELECT evidence_id, review_status, model_confidence FROM reportable ORDER BY CASE review_status WHEN 'APPROVED' THEN 0 ELSE 1 END,
-    model_confidence DESC NULLS LAST, updated_at DESC, evidence_id LIMIT 100000""", "evidence", "reportable"))
+    model_confidence DESC NULLS LAST, updated_at DESC, evidence_id""", "evidence", "reportable"))
 def p2(spark, d):
-    return rp.reportable_ordered(evidence(spark, d), 250_000).select("evidence_id", "review_status", "model_confidence")
+    return rp.reportable_ordered(evidence(spark, d)).select("evidence_id", "review_status", "model_confidence")
 
 
 @query("t2_nulls_last_order", sql("""SELECT evidence_id, row_number() OVER (ORDER BY CASE review_status WHEN 'APPROVED' THEN 0 ELSE 1 END, mc DESC NULLS LAST, updated_at DESC, evidence_id) AS rank

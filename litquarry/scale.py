@@ -19,7 +19,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        if not sc.master.startswith("local"):
+        if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor shares")
         named = tempfile.mkdtemp(prefix="litquarry-checkpoint-")
     sc.setCheckpointDir(named)

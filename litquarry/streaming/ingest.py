@@ -69,20 +69,25 @@ def outcome_counters(spark: SparkSession, target: str) -> DataFrame:
 POSTING = "doc_id long, field string, dl long, term string, tf long, version long"
 
 
-def index_stream(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str = "document_id long, text string, deleted boolean", fmt: str = "json") -> StreamingQuery:
+def index_stream(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str = "document_id long, text string, deleted boolean, sequence long", fmt: str = "json") -> StreamingQuery:
     """Append the postings of changed documents and a marker per touched document, one folder per batch.
 
-    A document's postings are those of its last batch; a deletion leaves only its marker. Nothing already
-    written is rewritten, and replaying a batch replaces its own folders.
+    A document's postings are those of its last row: the largest ``sequence`` of the last batch that has it, without
+    one the latest file and the last place in it. A deletion leaves only its marker. Nothing already written is rewritten, and replaying a batch replaces its own folders.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        last = batch.groupBy("document_id").agg(F.max_by(F.struct("text", "deleted"), F.struct(F.coalesce("deleted", F.lit(False)), "text")).alias("r")).select("document_id", "r.*")
+        rows = batch.withColumn("_place", F.monotonically_increasing_id())
+        order = F.struct(F.coalesce("sequence", F.lit(-1)), "_time", "_path", "_start", "_place")
+        last = rows.groupBy("document_id").agg(F.max_by(F.struct("text", "deleted"), order).alias("r")).select("document_id", "r.*")
         live = last.where(~F.coalesce("deleted", F.lit(False)))
         index = rt.build_index(live, "document_id", {"text": F.col("text")})
         _write_batch(index.postings.withColumn("version", F.lit(batch_id).cast("long")), f"{target}/postings", batch_id)
         _write_batch(last.select(F.col("document_id").alias("doc_id"), F.lit(batch_id).cast("long").alias("version")), f"{target}/touched", batch_id)
 
     stream = spark.readStream.schema(schema).format(fmt).load(source)
+    if "sequence" not in stream.columns:
+        stream = stream.withColumn("sequence", F.lit(None).cast("long"))
+    stream = stream.select("*", F.col("_metadata.file_modification_time").alias("_time"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"))
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

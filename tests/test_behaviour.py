@@ -127,6 +127,19 @@ def test_index_stream(spark, tmp_path):
     assert sorted((r.doc_id, r.term, r.tf) for r in si.current_index(spark, out).postings.collect()) == [(1, "green", 1), (3, "blue", 1)]
 
 
+def test_index_stream_takes_the_last_row_of_a_batch(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    _drop(src, "1.json", [{"document_id": 1, "text": "zebra old"}, {"document_id": 1, "text": "apple new"}, {"document_id": 2, "text": "gone"}, {"document_id": 2, "deleted": True},
+                          {"document_id": 2, "text": "back"}, {"document_id": 3, "text": "later", "sequence": 2}, {"document_id": 3, "text": "early", "sequence": 1}])
+    si.index_stream(spark, str(src), out, str(tmp_path / "ck")).awaitTermination()
+    assert sorted((r.doc_id, r.term) for r in si.current_index(spark, out).postings.collect()) == [(1, "apple"), (1, "new"), (2, "back"), (3, "later")]
+
+
+def test_zero_vectors_do_not_break_linkage(spark):
+    from litquarry.operators import cluster
+    assert spark.createDataFrame([(1,)], "a int").select(cluster._unit(F.array(F.lit(0.0), F.lit(0.0)))).first()[0] == [0.0, 0.0]
+
+
 def test_usage_stream_equals_batch(spark, tmp_path):
     rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     from litquarry.plans.report_queries import step_events

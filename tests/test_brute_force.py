@@ -174,6 +174,12 @@ def test_representative_selection_matches_plain_greedy(spark):
         assert got == picked[:min(limit, n)]
 
 
+def test_diverse_selection_reads_behind_a_very_frequent_compound(spark):
+    df = spark.range(100_001).select(F.col("id").cast("string").alias("evidence_id"), F.when(F.col("id") == 100_000, "rare").otherwise("common").alias("compound_name"),
+                                     F.col("id").alias("document_id"), (200_000 - F.col("id")).alias("score"), F.lit(None).cast("timestamp").alias("updated_at"))
+    assert [r.evidence_id for r in rp.diverse_selection(df).orderBy("position").collect()] == ["0", "1", "2", "100000"]
+
+
 def test_diverse_selection_matches_plain_loop(spark):
     rnd = random.Random(7)
     rows = [(r[0], r[1], r[2], float(rnd.randrange(5)), None) for r in _evidence(rnd, 80)]
