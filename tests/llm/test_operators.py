@@ -283,7 +283,7 @@ def test_maxscore_equals_all_products():
 def test_line_cleaning_removes_lines_and_keeps_text(spark):
     good = " ".join(["Plain words make a sentence here."] * 2 + ["And quite another sentence follows it now."] * 2)
     other = "Each of these lines carries its own words and ends well. None is said again in this text, not even once more."
-    df = spark.createDataFrame([(1, other), (2, "home | about | news | log in | more\n" + other), (3, "a | b | c | d | e | f | g\n" * 20), (4, None), (5, good * 9), (6, "*** a$$$ b%%% ### " * 30)], "doc_id int, text string")
+    df = spark.createDataFrame([(1, other), (2, "home | about | news\n" + other), (3, "a | b | c | d | e | f | g\n" * 20), (4, None), (5, good * 9), (6, "*** a$$$ b%%% ### " * 30)], "doc_id int, text string")
     rows = {r.doc_id: r for r in line_cleaning.clean_lines(df).collect()}
     assert {k: r.kept for k, r in rows.items()} == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False}
     assert rows[2].cleaned == other and rows[5].base_failed and rows[4].n_words == 0
