@@ -2,45 +2,62 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from litquarry.functions.core import round_half_up, tokens
-from litquarry.scale import block_count, is_small, small_side, spread
+from litquarry.scale import block_count, ensure_checkpoint_dir, is_small, small_side, spread
 
 K1 = 1.2
 B = 0.75
 QUERY_BROADCAST_ROWS = 4_096
 BLOCK_ROWS = 8_192
+TERM_SHARDS = 64
+SHARD_OF = "term_shard_of_"
+POSTING = ("doc_id", "field", "dl", "term", "tf")
 
 
 @dataclass
 class InvertedIndex:
-    """``postings(doc_id, field, term, tf, dl)``, hash-partitioned by document.
+    """``postings(doc_id, field, term, tf, dl)``, as planned from the texts or, with ``shards``, as stored by term.
 
-    Document partitioning lets a query be scored without moving postings: the
-    query terms travel, contributions of one document meet in its own partition,
-    and only the best k per query are shuffled.
+    A stored index has a column of the term's shard, by which its files are laid out and whose name tells the number
+    of shards, so that a search reads the files of its terms' shards and never the texts again.
     """
 
     postings: DataFrame
+    shards: int = 0
+
+    def of_terms(self, terms: DataFrame) -> DataFrame:
+        """Postings of ``terms(term)``, from their shards only where the index is stored."""
+        found = self.postings
+        if self.shards:
+            named = [r[0] for r in terms.select(shard_of("term", self.shards)).distinct().collect()]  # at most ``shards`` numbers
+            shard = f"{SHARD_OF}{self.shards}"
+            found = found.where(F.col(shard).isin(named)).drop(shard)
+        return found.join(small_side(terms), "term", "left_semi")
 
     def field_stats(self) -> DataFrame:
         """Documents and mean length per field."""
-        per_doc = self.postings.groupBy("doc_id", "field").agg(F.first("dl").alias("dl"))
+        per_doc = self.postings.select("doc_id", "field", "dl").distinct()
         return per_doc.groupBy("field").agg(
             F.count("*").alias("n_docs"), (F.sum("dl") / F.count("*")).alias("avgdl")
         )
 
     def document_frequency(self, terms: DataFrame | None = None) -> DataFrame:
-        p = self.postings if terms is None else self.postings.join(terms, "term", "left_semi")
+        p = self.postings if terms is None else self.of_terms(terms)
         return p.groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
+def shard_of(term: Column | str, shards: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
+
+
 def build_index(docs: DataFrame, doc_id: str, fields: dict[str, Column]) -> InvertedIndex:
     """Tokenise each field and count terms; one shuffle, by document."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), *[c.alias(f) for f, c in fields.items()])
@@ -55,15 +72,31 @@ def build_index(docs: DataFrame, doc_id: str, fields: dict[str, Column]) -> Inve
     return InvertedIndex(exploded.groupBy("doc_id", "field", "dl", "term").agg(F.count("*").alias("tf")))
 
 
-def write_index(index: InvertedIndex, path: str, partitions: int) -> None:
-    """Store postings by document shard so that later reads prune to whole shards."""
-    (index.postings.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(partitions)))
-     .repartition("shard").sortWithinPartitions("term")
-     .write.mode("overwrite").partitionBy("shard").parquet(path))
+def write_index(index: InvertedIndex, path: str, shards: int = TERM_SHARDS) -> None:
+    """Store postings by shard of the term in a folder that must not exist yet, so a read of it is never overwritten.
+
+    Adaptive execution divides a shard that a very frequent term fills, and merges small ones.
+    """
+    shard = f"{SHARD_OF}{shards}"
+    (index.postings.select(*POSTING).withColumn(shard, shard_of("term", shards)).hint("rebalance", shard)
+     .write.mode("errorifexists").partitionBy(shard).parquet(path))
+
+
+def read_index(spark: SparkSession, path: str, postings: T.StructType | None = None, shards: int = TERM_SHARDS) -> InvertedIndex:
+    """A stored index; with the type of its ``postings`` also one of no posting can be read."""
+    reader = spark.read
+    if postings is not None:
+        reader = reader.schema(T.StructType([*postings, T.StructField(f"{SHARD_OF}{shards}", T.IntegerType())]))
+    stored_rows = reader.parquet(path)
+    return InvertedIndex(stored_rows, int(stored_rows.columns[-1].removeprefix(SHARD_OF)))
 
 
-def read_index(spark, path: str) -> InvertedIndex:
-    return InvertedIndex(spark.read.parquet(path).drop("shard").repartition("doc_id"))
+def stored(index: InvertedIndex, shards: int = TERM_SHARDS) -> InvertedIndex:
+    """The index written to a new folder of the shared run folder: one pass over the texts, however often it is read."""
+    spark = index.postings.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    write_index(index, path, shards)
+    return read_index(spark, path, index.postings.select(*POSTING).schema, shards)
 
 
 def query_terms(queries: DataFrame, query_id: list[str], text: str = "query") -> DataFrame:
@@ -85,7 +118,8 @@ def bm25(index: InvertedIndex, queries: DataFrame, query_id: list[str], k: int,
     """Boosted multi-field BM25 with exact document lengths: ``query_id, doc_id, score, rank``."""
     terms = small_side(query_terms(queries, query_id))
     distinct_terms = small_side(query_terms(queries, query_id).select("term").distinct())
-    df = small_side(index.document_frequency(distinct_terms))
+    postings = index.of_terms(distinct_terms)
+    df = small_side(postings.groupBy("field", "term").agg(F.count("*").alias("df")))
     boost = F.create_map(*[F.lit(v) for f, w in boosts.items() for v in (f, float(w))])
     weights = (
         df.join(F.broadcast(index.field_stats()), "field")  # one row per field
@@ -93,7 +127,7 @@ def bm25(index: InvertedIndex, queries: DataFrame, query_id: list[str], k: int,
                 (F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
                  * F.element_at(boost, F.col("field"))).alias("w"))
     )
-    matched = index.postings.join(small_side(weights), ["field", "term"]).join(terms, "term")
+    matched = postings.join(small_side(weights), ["field", "term"]).join(terms, "term")
     saturation = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = matched.groupBy(*query_id, "doc_id").agg(
         round_half_up(F.sum(F.col("qtf") * F.col("w") * saturation), 6).alias("score")
@@ -105,7 +139,7 @@ def text_match(index: InvertedIndex, queries: DataFrame, query_id: list[str], k:
     """Documents that hold every query term in any field, ranked by damped term frequency."""
     terms = query_terms(queries, query_id)
     wanted = terms.groupBy(*query_id).agg(F.count("*").alias("n_terms"))
-    by_doc = index.postings.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
+    by_doc = index.of_terms(terms.select("term").distinct()).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
     scored = (
         by_doc.join(small_side(terms.drop("qtf")), "term")
         .groupBy(*query_id, "doc_id")
@@ -230,8 +264,8 @@ def update_index(index: InvertedIndex, changed: InvertedIndex, deleted: DataFram
     gone = changed.postings.select("doc_id").distinct()
     if deleted is not None:
         gone = gone.unionByName(deleted.select("doc_id")).distinct()
-    kept = index.postings.join(gone, "doc_id", "left_anti")
-    fresh = changed.postings
+    kept = index.postings.select(*POSTING).join(gone, "doc_id", "left_anti")
+    fresh = changed.postings.select(*POSTING)
     if deleted is not None:
         fresh = fresh.join(deleted.select("doc_id").distinct(), "doc_id", "left_anti")
     return InvertedIndex(kept.unionByName(fresh))

@@ -8,6 +8,7 @@ from litquarry.functions.core import round_half_up
 from litquarry.operators import fusion, ir_metrics as ir, retrieval as rt, windows as wn
 from litquarry.plans.registry import query
 from litquarry.plans.views import chunks, docs, labelled, questions, r_sql, ratio_sql, sql, sub_queries, tok
+from litquarry.scale import cut
 from litquarry.sources.tables import table
 
 K = 50
@@ -19,7 +20,7 @@ def _doc_index(spark, d):
 
 
 def _chunk_index(spark, d):
-    return rt.build_index(chunks(spark, d), "chunk_id", {"text": F.col("text")})
+    return rt.stored(rt.build_index(chunks(spark, d), "chunk_id", {"text": F.col("text")}))
 
 
 # SQL fragments ------------------------------------------------------------------------------------
@@ -93,7 +94,7 @@ def r2_check(spark, d):
 @query("r3_bm25_multi_field", sql("SELECT experiment_id, query_no, doc_id, score, rank FROM bm", "docs", "questions",
        extra=",\n".join([POST, STATS, bm25_ctes("questions", "bm", K, BOOST_SQL)])))
 def r3(spark, d):
-    return rt.bm25(_doc_index(spark, d), questions(spark, d), ["experiment_id", "query_no"], K, BOOSTS)
+    return rt.bm25(rt.stored(_doc_index(spark, d)), questions(spark, d), ["experiment_id", "query_no"], K, BOOSTS)
 
 
 FTS = f"""qf AS (SELECT DISTINCT experiment_id, query_no, term FROM
@@ -108,7 +109,7 @@ FTS = f"""qf AS (SELECT DISTINCT experiment_id, query_no, term FROM
 
 
 def _fts(spark, d):
-    return rt.text_match(_doc_index(spark, d), sub_queries(spark, d), ["experiment_id", "query_no"], K)
+    return rt.text_match(rt.stored(_doc_index(spark, d)), sub_queries(spark, d), ["experiment_id", "query_no"], K)
 
 
 @query("r4_text_match_all_terms", sql("SELECT * FROM fts", "docs", "sub", extra=POST + ",\n" + FTS))
@@ -169,7 +170,7 @@ def _bm25_chunk_route(spark, d, queries, route):
     per_query = hits.join(queries, ["experiment_id", "query_no"]).select(
         "experiment_id", "query_no", "query", "rank",
         F.substring_index("doc_id", ":", 1).cast("long").alias("document_id"), F.col("doc_id").alias("chunk_id"), "score")
-    return fusion.route_hits(per_query, route)
+    return cut(fusion.route_hits(per_query, route))
 
 
 def _dense_route(spark, d, route="DENSE"):
@@ -187,8 +188,9 @@ def _fts_route(spark, d, route="FTS"):
 
 
 def _routes(spark, d):
+    """Hits of all routes, at most k rows per query and route; materialised, as pools and metrics read them again."""
     return (_bm25_chunk_route(spark, d, sub_queries(spark, d), "BM25")
-            .unionByName(_dense_route(spark, d)).unionByName(_fts_route(spark, d)))
+            .unionByName(cut(_dense_route(spark, d).unionByName(_fts_route(spark, d)))))
 
 
 def _route_sql(src: str, route: str) -> str:
@@ -234,7 +236,10 @@ ALL = HITS + ",\n" + f"allhits AS (SELECT * FROM hits UNION ALL SELECT * FROM {r
 
 
 def _all_hits(spark, d):
-    hits = _routes(spark, d)
+    return _with_overall(_routes(spark, d))
+
+
+def _with_overall(hits):
     return hits.unionByName(fusion.rrf(hits, ["BM25", "DENSE", "FTS"], "OVERALL"))
 
 
@@ -254,7 +259,7 @@ def u1(spark, d):
 @query("t1_top_k_per_query", sql("SELECT experiment_id, query_no, doc_id, score, rank FROM bm", "docs", "sub",
        extra=",\n".join([POST, STATS, bm25_ctes("sub", "bm", 10, BOOST_SQL)])))
 def t1(spark, d):
-    return rt.bm25(_doc_index(spark, d), sub_queries(spark, d), ["experiment_id", "query_no"], 10, BOOSTS)
+    return rt.bm25(rt.stored(_doc_index(spark, d)), sub_queries(spark, d), ["experiment_id", "query_no"], 10, BOOSTS)
 
 
 @query("w3_renumber_after_scope", sql(f"""SELECT experiment_id, route, query_no, row_number() OVER (
@@ -349,8 +354,8 @@ METRIC_SELECT = f"""SELECT experiment_id, route, CAST(cut AS INT) AS cut, {ratio
 
 @query("r15_ir_metrics", sql(METRIC_SELECT, *HV, extra=",\n".join([ALL, POOL, metrics_sql("allhits")])))
 def r15(spark, d):
-    hits = _all_hits(spark, d)
-    pool = _pool(spark, d, _routes(spark, d))
+    routes = _routes(spark, d)
+    hits, pool = _with_overall(routes), _pool(spark, d, routes)
     return ir.ir_metrics(hits, pool, _key_chunks(spark, d, pool))
 
 
@@ -365,7 +370,8 @@ def r15_bm25(spark, d):
 @query("w5_running_precision", sql("""SELECT experiment_id, route, document_id, first_rank, pos, label, rel,
     CAST(seen AS BIGINT) AS rel_seen FROM f3""", *HV, extra=",\n".join([ALL, POOL, metrics_sql("allhits")])))
 def w5(spark, d):
-    return ir.document_positions(_all_hits(spark, d), _pool(spark, d, _routes(spark, d)))
+    routes = _routes(spark, d)
+    return ir.document_positions(_with_overall(routes), _pool(spark, d, routes))
 
 
 @query("u2_missed_relevant", sql("""SELECT r.experiment_id, r.route, CAST(r.cut AS INT) AS cut, p.document_id FROM

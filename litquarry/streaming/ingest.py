@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from litquarry.functions.core import nz
 from litquarry.operators import retrieval as rt
+from litquarry.scale import cut
 
 DOCUMENTS = "document_id long, doi string, text string"
 
@@ -37,24 +38,29 @@ def ingest_folder(spark: SparkSession, source: str, target: str, checkpoint: str
     """Read new files, accept documents whose DOI and content are new, record an outcome per document.
 
     The state is the table of accepted keys, joined per batch, so it may grow without a bound on memory.
-    Inside a batch the arrival order is the document id and only accepted rows register their keys.
+    Inside a batch the arrival order is the document id, then the place read, and only accepted rows register their
+    keys. So of rows that repeat an id and a text one is accepted and each other counts as its duplicate.
     """
     from litquarry.operators.corpus import greedy_canonical
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("document_id", nz("doi").alias("doi"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), nz("text").isNull().alias("failed"))
+        # the places are pinned, as every later step must see the same ones
+        rows = cut(batch.select(F.struct("document_id", F.monotonically_increasing_id().alias("place")).alias("_o"), nz("doi").alias("doi"),
+                                F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), nz("text").isNull().alias("failed")))
         seen = _snapshot(spark, f"{target}/canonical", CANON, batch_id)
         by_doi = seen.where("doi IS NOT NULL").select("doi", F.col("document_id").alias("_a"))
         by_sha = seen.select("sha", F.col("document_id").alias("_b"))
         j = rows.join(by_doi, "doi", "left").join(by_sha, "sha", "left").withColumn("_old", F.coalesce("_a", "_b"))
-        fresh = j.where("NOT failed AND _old IS NULL").select("document_id", "doi", "sha")
-        canon = greedy_canonical(fresh, "document_id", ["doi", "sha"])
-        first_doi = canon.where("doi IS NOT NULL").select("doi", F.col("document_id").alias("_c"))
-        first_sha = canon.select("sha", F.col("document_id").alias("_d"))
+        fresh = j.where("NOT failed AND _old IS NULL").select("_o", "doi", "sha")
+        canon = greedy_canonical(fresh, "_o", ["doi", "sha"])
+        first_doi = canon.where("doi IS NOT NULL").select("doi", F.col("_o").alias("_c"))
+        first_sha = canon.select("sha", F.col("_o").alias("_d"))
         out = j.join(first_doi, "doi", "left").join(first_sha, "sha", "left")
-        dup = F.coalesce("_old", F.when(F.col("_c") < F.col("document_id"), F.col("_c")), F.when(F.col("_d") < F.col("document_id"), F.col("_d")))
-        outcome = out.select("document_id", F.when(F.col("failed"), "FAILED").when(dup.isNotNull(), "DUPLICATE_SKIPPED").otherwise("COMPLETED").alias("status"),
+        earlier = lambda o: F.when(F.col(o) < F.col("_o"), F.col(f"{o}.document_id"))
+        dup = F.coalesce("_old", earlier("_c"), earlier("_d"))
+        outcome = out.select("_o.document_id", F.when(F.col("failed"), "FAILED").when(dup.isNotNull(), "DUPLICATE_SKIPPED").otherwise("COMPLETED").alias("status"),
                              F.when(~F.col("failed"), dup).alias("duplicate_of"))
+        canon = canon.select("_o.document_id", "doi", "sha")
         _write_batch(canon, f"{target}/canonical", batch_id)
         _write_batch(outcome, f"{target}/outcomes", batch_id)
 

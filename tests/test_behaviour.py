@@ -69,6 +69,21 @@ def test_index_written_and_read(spark, tmp_path):
     assert rows(rt.read_index(spark, str(tmp_path / "ix"))) == rows(index)
 
 
+def test_stored_index_reads_only_shards_of_the_terms(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 50} common") for i in range(200)], "document_id long, text string")
+    built = rt.build_index(docs, "document_id", {"text": F.col("text")})
+    index = rt.stored(built)
+    terms = spark.createDataFrame([("w7",)], "term string")
+    found = index.of_terms(terms)
+    assert sorted(r.doc_id for r in found.collect()) == [7, 57, 107, 157]
+    assert "PartitionFilters: [isnotnull(term_shard_of_64" in found._jdf.queryExecution().executedPlan().toString()
+    q = spark.createDataFrame([(1, 0, "w7 common")], "experiment_id long, query_no int, query string")
+    best = lambda ix: [tuple(r) for r in rt.bm25(ix, q, ["experiment_id", "query_no"], 5, {"text": 1.0}).orderBy("rank").collect()]
+    assert best(index) == best(built)
+    empty = rt.stored(rt.build_index(docs.limit(0), "document_id", {"text": F.col("text")}))
+    assert rt.bm25(empty, q, ["experiment_id", "query_no"], 5, {"text": 1.0}).count() == 0
+
+
 def test_markup_units(spark):
     html = ("<html><head><title>T one.</title><script>var x='<p>no</p>'</script></head><body><nav><p>menu</p></nav><h1>Methods</h1><p>A b. C d!</p><h2>Assay</h2><p>E &amp; f</p>"
             "<h1>References</h1><p>cited</p></body></html>")
@@ -118,6 +133,15 @@ def test_folder_ingest_stream(spark, tmp_path):
     assert {r.status: r.n for r in si.outcome_counters(spark, out).collect()} == {"COMPLETED": 3, "DUPLICATE_SKIPPED": 2, "FAILED": 1}
 
 
+def test_folder_ingest_counts_repeated_rows_as_duplicates(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    _drop(src, "1.json", [{"document_id": 7, "text": "a"}] * 3 + [{"document_id": 8, "doi": "d", "text": "b"}] * 2 + [{"document_id": 7, "text": "other"}])
+    si.ingest_folder(spark, str(src), out, str(tmp_path / "ck")).awaitTermination()
+    got = sorted((r.document_id, r.status, r.duplicate_of or 0) for r in spark.read.parquet(out + "/outcomes").collect())
+    assert got == [(7, "COMPLETED", 0), (7, "COMPLETED", 0), (7, "DUPLICATE_SKIPPED", 7), (7, "DUPLICATE_SKIPPED", 7), (8, "COMPLETED", 0), (8, "DUPLICATE_SKIPPED", 8)]
+    assert spark.read.parquet(out + "/canonical").count() == 3
+
+
 def test_index_stream(spark, tmp_path):
     src, out, ck = tmp_path / "src", str(tmp_path / "out"), str(tmp_path / "ck")
     _drop(src, "1.json", [{"document_id": 1, "text": "red red"}, {"document_id": 2, "text": "blue"}])
