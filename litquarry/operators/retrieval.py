@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from litquarry.functions.core import round_half_up, tokens
-from litquarry.scale import block_count, ensure_checkpoint_dir, is_small, small_side, spread
+from litquarry.scale import block_count, cut, is_small, small_side, spread
 
 K1 = 1.2
 B = 0.75
@@ -91,12 +90,12 @@ def read_index(spark: SparkSession, path: str, postings: T.StructType | None = N
     return InvertedIndex(stored_rows, int(stored_rows.columns[-1].removeprefix(SHARD_OF)))
 
 
-def stored(index: InvertedIndex, shards: int = TERM_SHARDS) -> InvertedIndex:
-    """The index written to a new folder of the shared run folder: one pass over the texts, however often it is read."""
-    spark = index.postings.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
-    write_index(index, path, shards)
-    return read_index(spark, path, index.postings.select(*POSTING).schema, shards)
+def materialised(index: InvertedIndex) -> InvertedIndex:
+    """The index kept by document on reliable storage: one pass over the texts, however often one query reads it.
+
+    For a search with many queries this beats shards of terms, as the contributions to a document need not be moved.
+    """
+    return InvertedIndex(cut(index.postings.select(*POSTING)))
 
 
 def query_terms(queries: DataFrame, query_id: list[str], text: str = "query") -> DataFrame:

@@ -20,7 +20,7 @@ def _doc_index(spark, d):
 
 
 def _chunk_index(spark, d):
-    return rt.stored(rt.build_index(chunks(spark, d), "chunk_id", {"text": F.col("text")}))
+    return rt.materialised(rt.build_index(chunks(spark, d), "chunk_id", {"text": F.col("text")}))
 
 
 # SQL fragments ------------------------------------------------------------------------------------
@@ -94,7 +94,7 @@ def r2_check(spark, d):
 @query("r3_bm25_multi_field", sql("SELECT experiment_id, query_no, doc_id, score, rank FROM bm", "docs", "questions",
        extra=",\n".join([POST, STATS, bm25_ctes("questions", "bm", K, BOOST_SQL)])))
 def r3(spark, d):
-    return rt.bm25(rt.stored(_doc_index(spark, d)), questions(spark, d), ["experiment_id", "query_no"], K, BOOSTS)
+    return rt.bm25(rt.materialised(_doc_index(spark, d)), questions(spark, d), ["experiment_id", "query_no"], K, BOOSTS)
 
 
 FTS = f"""qf AS (SELECT DISTINCT experiment_id, query_no, term FROM
@@ -109,7 +109,7 @@ FTS = f"""qf AS (SELECT DISTINCT experiment_id, query_no, term FROM
 
 
 def _fts(spark, d):
-    return rt.text_match(rt.stored(_doc_index(spark, d)), sub_queries(spark, d), ["experiment_id", "query_no"], K)
+    return rt.text_match(rt.materialised(_doc_index(spark, d)), sub_queries(spark, d), ["experiment_id", "query_no"], K)
 
 
 @query("r4_text_match_all_terms", sql("SELECT * FROM fts", "docs", "sub", extra=POST + ",\n" + FTS))
@@ -259,7 +259,7 @@ def u1(spark, d):
 @query("t1_top_k_per_query", sql("SELECT experiment_id, query_no, doc_id, score, rank FROM bm", "docs", "sub",
        extra=",\n".join([POST, STATS, bm25_ctes("sub", "bm", 10, BOOST_SQL)])))
 def t1(spark, d):
-    return rt.bm25(rt.stored(_doc_index(spark, d)), sub_queries(spark, d), ["experiment_id", "query_no"], 10, BOOSTS)
+    return rt.bm25(rt.materialised(_doc_index(spark, d)), sub_queries(spark, d), ["experiment_id", "query_no"], 10, BOOSTS)
 
 
 @query("w3_renumber_after_scope", sql(f"""SELECT experiment_id, route, query_no, row_number() OVER (

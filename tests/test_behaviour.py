@@ -69,18 +69,21 @@ def test_index_written_and_read(spark, tmp_path):
     assert rows(rt.read_index(spark, str(tmp_path / "ix"))) == rows(index)
 
 
-def test_stored_index_reads_only_shards_of_the_terms(spark):
+def test_stored_index_reads_only_shards_of_the_terms(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"w{i % 50} common") for i in range(200)], "document_id long, text string")
     built = rt.build_index(docs, "document_id", {"text": F.col("text")})
-    index = rt.stored(built)
+    rt.write_index(built, str(tmp_path / "ix"))
+    index = rt.read_index(spark, str(tmp_path / "ix"))
     terms = spark.createDataFrame([("w7",)], "term string")
     found = index.of_terms(terms)
     assert sorted(r.doc_id for r in found.collect()) == [7, 57, 107, 157]
     assert "PartitionFilters: [isnotnull(term_shard_of_64" in found._jdf.queryExecution().executedPlan().toString()
     q = spark.createDataFrame([(1, 0, "w7 common")], "experiment_id long, query_no int, query string")
     best = lambda ix: [tuple(r) for r in rt.bm25(ix, q, ["experiment_id", "query_no"], 5, {"text": 1.0}).orderBy("rank").collect()]
-    assert best(index) == best(built)
-    empty = rt.stored(rt.build_index(docs.limit(0), "document_id", {"text": F.col("text")}))
+    assert best(index) == best(built) == best(rt.materialised(built))
+    none = rt.build_index(docs.limit(0), "document_id", {"text": F.col("text")})
+    rt.write_index(none, str(tmp_path / "none"))
+    empty = rt.read_index(spark, str(tmp_path / "none"), none.postings.select(*rt.POSTING).schema)
     assert rt.bm25(empty, q, ["experiment_id", "query_no"], 5, {"text": 1.0}).count() == 0
 
 
