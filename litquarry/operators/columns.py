@@ -30,4 +30,4 @@ def table_candidates(pages: DataFrame) -> DataFrame:
     found = lines.select("*", F.explode(both).alias("source")).withColumn("kind", pg.table_kind(line, F.col("activity_page")))
     key = F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
     return found.withColumn("line_key", key).groupBy("document_id", "page_number", "source", "line_key").agg(
-        F.first("kind").alias("kind"))
+        F.min("kind").alias("kind"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from litquarry.functions.core import fold_space_ascii, is_blank, nz, ratio, round_half_up
-from litquarry.scale import cut
+from litquarry.scale import cut, join_known
 
 MIN_CHUNKS, MIN_CHARS = 3, 1500
 MAX_REPLACED, MAX_SHORT_LINES = 0.03, 0.80
@@ -31,14 +31,14 @@ def greedy_canonical(rows: DataFrame, order: str, keys: list[str], max_rounds: i
         first = undecided
         for k in keys:
             low = undecided.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_min_{k}"))
-            first = first.join(low, k, "left")
+            first = join_known(first, low, k, "left")
         free = reduce(lambda a, b: a & b, [F.col(f"_min_{k}").isNull() | (F.col(f"_min_{k}") == F.col(order)) for k in keys])
         marked = cut(first.withColumn("_keep", free).select(order, *keys, "_keep"))
         keep = marked.where("_keep").drop("_keep")
         kept.append(keep)
         rest = marked.where(~F.col("_keep")).drop("_keep")
         for k in keys:
-            rest = rest.join(keep.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
+            rest = join_known(rest, keep.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
         undecided = cut(rest.select(order, *keys))
         if undecided.isEmpty():
             return reduce(DataFrame.unionByName, kept)
@@ -54,7 +54,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     canon = greedy_canonical(base, "document_id", ["doi", "sha"])
     by_doi = canon.where(F.col("doi").isNotNull()).select("doi", F.col("document_id").alias("_doi_id"))
     by_sha = canon.where(F.col("sha").isNotNull()).select("sha", F.col("document_id").alias("_sha_id"))
-    j = base.join(by_doi, "doi", "left").join(by_sha, "sha", "left")
+    j = join_known(join_known(base, by_doi, "doi", "left"), by_sha, "sha", "left")
     me = F.col("document_id")
     by_d = F.when(F.col("_doi_id") < me, F.col("_doi_id"))
     by_s = F.when(F.col("_sha_id") < me, F.col("_sha_id"))
@@ -203,22 +203,19 @@ def replace_cohorts(members: DataFrame, published: DataFrame) -> DataFrame:
 
 
 def cohort_hash(members: DataFrame, block: int = COHORT_BLOCK) -> DataFrame:
-    """SHA-256 of each cohort's ids, newline-joined in ordinal order.
+    """Hash tree of each cohort's ids, newline-joined in ordinal order, at every size the same.
 
-    ``members(cohort, ordinal, document_id)`` with ordinals from 1. Ids are hashed in blocks
-    of ``block``; a cohort that needs more than one block gets the hash of its block hashes,
-    level by level, so no task ever holds a whole cohort. Up to ``block`` members the value
-    is the plain hash.
+    ``members(cohort, ordinal, document_id)`` with ordinals from 1. Ids are hashed (SHA-256) in blocks of ``block``,
+    and the hashes of blocks again, level by level and at least once, until one is left. No task holds a whole cohort.
     """
     level = members.select("cohort", F.col("ordinal").cast("long").alias("n"), F.col("document_id").cast("string").alias("v"))
-    top = members.agg(F.max("ordinal")).first()[0] or 0
-    first_level = True
-    while True:
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "v"))), lambda x: x["v"]), "\n")
+    largest = members.agg(F.max("ordinal")).first()[0] or 0
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "v"))), lambda x: x["v"]), "\n")
+    levels = 0
+    while levels < 2 or largest > 1:
         blocks = level.groupBy("cohort", (F.floor((F.col("n") - 1) / block) + 1).alias("n"))
-        # above the first level a single entry is already the finished hash of its cohort
-        value = F.sha2(joined, 256) if first_level else F.when(F.count("*") == 1, F.max("v")).otherwise(F.sha2(joined, 256))
+        # from the third level on a cohort of one entry has its hash already
+        value = F.sha2(joined, 256) if levels < 2 else F.when(F.count("*") == 1, F.max("v")).otherwise(F.sha2(joined, 256))
         level = blocks.agg(value.alias("v"))
-        first_level, top = False, -(-top // block)
-        if top <= 1:
-            return level.select("cohort", F.col("v").alias("input_hash"))
+        levels, largest = levels + 1, -(-largest // block)
+    return level.select("cohort", F.col("v").alias("input_hash"))

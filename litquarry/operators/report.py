@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from litquarry.functions import pages as pg
@@ -290,8 +294,10 @@ def representative_selection(evidence: DataFrame, limit: int = 80, per_compound:
 
     Exact pruning keeps the pool small: no more than ``per_compound`` rows of equal source, compound,
     document and organism can win, and while some of the ``limit`` best compounds is unused it offers
-    at least its base plus the compound bonus, which a row far below can never beat. Each of the at
-    most ``limit`` rounds is one distributed maximum; only the winning row comes to the driver.
+    at least its base plus the compound bonus, which a row far below can never beat. A bonus once spent
+    never comes back, so scores only fall: Spark returns the STEP_ROWS best rows of the moment, and picks
+    go on among them until the best is behind the last of them, where a row not read may lead. The first
+    of a step always wins, so there are at most ``limit`` steps.
     """
     fold = lambda f: F.lower(F.trim(F.coalesce(f, F.lit(""))))
     e = evidence.where(~pg.looks_non_compound(F.col("compound_name"), F.col("structure_type"), F.col("source_category")))
@@ -307,26 +313,39 @@ def representative_selection(evidence: DataFrame, limit: int = 80, per_compound:
     pool = cut(pool)
     used: dict[str, set] = {k: set() for k in NOVELTY}
     count: dict[str, int] = {}
-    picked: list[tuple[str, int]] = []
+    picked: list[str] = []
+
+    def bonus(k: str, values: set) -> Column:
+        return F.when(F.col(k).isin(sorted(v for v in values if v is not None)), 0.0).otherwise(NOVELTY[k]) if values - {None} else F.lit(NOVELTY[k])
+
+    def place(r) -> tuple:  # adds in the order in which the columns are added
+        worth = reduce(operator.add, [0.0 if r[k] is not None and r[k] in used[k] else v for k, v in NOVELTY.items()], r.b)
+        return -math.floor(worth * 1e9 + 0.5), r.evidence_id
+
     while len(picked) < limit:
-        score = F.col("b")
-        for k, bonus in NOVELTY.items():
-            score = score + (F.when(F.col(k).isin(sorted(used[k])), 0.0).otherwise(bonus) if used[k] else F.lit(bonus))
-        full = [k for k, v in count.items() if v >= per_compound]
-        rest = pool.where(~F.col("evidence_id").isin([p[0] for p in picked])) if picked else pool
+        rest = pool.where(~F.col("evidence_id").isin(picked)) if picked else pool
+        full = [k for k, n in count.items() if n >= per_compound]
         rest = rest.where(~F.col("compound").isin(full)) if full else rest
-        top = rest.agg(F.min_by(F.struct("evidence_id", *NOVELTY), F.struct((-round_half_up(score, 9)).alias("s"), "evidence_id")).alias("r")).first().r
-        if top is None:
-            break
-        picked.append((top.evidence_id, len(picked) + 1))
+        score = F.col("b")
         for k in NOVELTY:
-            used[k].add(top[k])
-        count[top.compound] = count.get(top.compound, 0) + 1
+            score = score + bonus(k, used[k])
+        step = rest.orderBy(-round_half_up(score, 9), "evidence_id").limit(STEP_ROWS).select("evidence_id", "b", *NOVELTY).collect()
+        if not step:
+            break
+        bound = place(step[-1]) if len(step) == STEP_ROWS else None
+        while step and len(picked) < limit:
+            top = min(step, key=place)
+            if bound is not None and place(top) > bound:
+                break
+            picked.append(top.evidence_id)
+            count[top.compound] = count.get(top.compound, 0) + 1
+            for k in NOVELTY:
+                used[k].add(top[k])
+            step = [r for r in step if r.evidence_id != top.evidence_id and count.get(r.compound, 0) < per_compound]
     if len(picked) < limit:
-        rest = narrow.where(~F.col("evidence_id").isin([p[0] for p in picked])) if picked else narrow
-        fill = rest.orderBy("rank", "evidence_id").limit(limit - len(picked)).select("evidence_id").collect()
-        picked += [(r.evidence_id, len(picked) + 1 + i) for i, r in enumerate(fill)]
-    return evidence.sparkSession.createDataFrame(picked, "evidence_id string, position long")
+        rest = narrow.where(~F.col("evidence_id").isin(picked)) if picked else narrow
+        picked += [r.evidence_id for r in rest.orderBy("rank", "evidence_id").limit(limit - len(picked)).select("evidence_id").collect()]
+    return evidence.sparkSession.createDataFrame([(e, i + 1) for i, e in enumerate(picked)], "evidence_id string, position long")
 
 
 def chunk_heuristic(chunks: DataFrame, profile_text: str, keep: int) -> DataFrame:
@@ -351,34 +370,45 @@ def expand_parents(selected: DataFrame, chunks: DataFrame) -> DataFrame:
     return grown.unionByName(selected.select("document_id", "chunk_id")).distinct()
 
 
+METADATA_CAP, ABSTRACT_CAP = 3000, 2000  # characters of one document
+
+
 def literature_budget(documents: DataFrame, chunks: DataFrame, max_documents: int, max_chars: int, chunks_per_document: int) -> DataFrame:
     """Characters granted to each chosen chunk when documents share one budget in order.
 
     ``documents(document_id, position, metadata_chars, abstract_chars)``, ``chunks(document_id, chunk_no,
-    chars)`` best first. The fold runs over at most ``max_documents`` documents with a few chunks each.
+    chars)`` best first. Each document may use an equal part of what its predecessors left: up to half goes to its
+    metadata, a third of the rest to its abstract, the remainder in equal shares to its chunks. Only numbers of the
+    at most ``max_documents`` documents meet in one array; the fold over it is a column expression.
     """
-    w = W.partitionBy("document_id").orderBy("chunk_no")
+    whole = lambda a, b: F.floor(a / b).cast("long")
+    n = lambda v: F.lit(v).cast("long")
     few = documents.orderBy("position").limit(max_documents)
+    w = W.partitionBy("document_id").orderBy("chunk_no")
     best = chunks.join(F.broadcast(few.select("document_id")), "document_id", "left_semi").withColumn("_n", F.row_number().over(w)).where(
-        F.col("_n") <= chunks_per_document).groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("chunk_no", "chars"))).alias("cs"))
-    rows = few.join(best, "document_id", "left").orderBy("position").collect()  # at most max_documents rows
-    left, out = max_chars, []
-    for i, r in enumerate(rows):
-        if left <= 0:
-            break
-        budget = max(1, left // (len(rows) - i))
-        meta = min(r.metadata_chars, min(3000, max(1, budget // 2)))
-        abstract = min(r.abstract_chars, min(2000, max(0, budget - meta) // 3))
-        used = meta + abstract
-        cs = r.cs or []
-        share = max(1, max(0, budget - used) // len(cs)) if cs else 0
-        for ch in cs:
-            granted = min(ch.chars, share)
-            if granted > 0:
-                out.append((r.document_id, ch.chunk_no, granted, budget))
-                used += granted
-        left -= min(left, used)
-    return documents.sparkSession.createDataFrame(out, "document_id long, chunk_no long, chars long, budget long")
+        F.col("_n") <= chunks_per_document).select("document_id", "chunk_no", F.col("chars").cast("long").alias("chars"))
+    sizes = best.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("chunk_no", "chars"))).alias("cs"))
+    one = few.join(sizes, "document_id", "left").agg(F.sort_array(F.collect_list(F.struct(
+        "position", "document_id", F.coalesce(F.col("metadata_chars").cast("long"), n(0)).alias("meta"),
+        F.coalesce(F.col("abstract_chars").cast("long"), n(0)).alias("abstract"), "cs"))).alias("ds"))
+
+    def grant(left: Column, waiting: Column, d: Column) -> Column:
+        """(budget, share of a chunk, characters used) of a document before which ``left`` characters remain."""
+        budget = F.greatest(n(1), whole(left, waiting))
+        head = F.least(d["meta"], n(METADATA_CAP), F.greatest(n(1), whole(budget, n(2))))
+        both = head + F.least(d["abstract"], n(ABSTRACT_CAP), whole(F.greatest(n(0), budget - head), n(3)))
+        share = F.greatest(n(1), whole(F.greatest(n(0), budget - both), F.greatest(F.size(d["cs"]), F.lit(1))))
+        used = both + F.aggregate(F.coalesce(d["cs"], F.array().cast("array<struct<chunk_no:long,chars:long>>")), n(0), lambda a, x: a + F.least(x["chars"], share))
+        return F.struct(d["document_id"].alias("document_id"), budget.alias("budget"), share.alias("share"), used.alias("used"))
+
+    def step(state: Column, d: Column) -> Column:
+        got = grant(state["left"], F.size("ds") - F.size(state["plan"]), d)
+        grown = F.struct(F.greatest(n(0), state["left"] - got["used"]).alias("left"), F.array_append(state["plan"], got).alias("plan"))
+        return F.when(state["left"] > 0, grown).otherwise(state)
+
+    empty = F.array().cast("array<struct<document_id:long,budget:long,share:long,used:long>>")
+    plan = one.select(F.explode(F.aggregate("ds", F.struct(n(max_chars).alias("left"), empty.alias("plan")), step)["plan"]).alias("p")).select("p.*")
+    return best.join(F.broadcast(plan), "document_id").select("document_id", "chunk_no", F.least("chars", "share").alias("chars"), "budget").where("chars > 0")
 
 
 def multi_round_hits(hits: DataFrame) -> tuple[DataFrame, DataFrame]:

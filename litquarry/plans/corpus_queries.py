@@ -180,7 +180,7 @@ def d6(spark, d):
 @query("a22_cohort_hash", """WITH m AS (SELECT o_orderpriority AS cohort, o_orderkey AS v, row_number() OVER (PARTITION BY o_orderpriority
       ORDER BY o_totalprice, o_orderkey) AS n FROM orders),
     b AS (SELECT cohort, (n-1)//10000 AS b, sha256(string_agg(v::VARCHAR, chr(10) ORDER BY n)) AS h FROM m GROUP BY ALL)
-    SELECT cohort, CASE WHEN count(*)=1 THEN max(h) ELSE sha256(string_agg(h, chr(10) ORDER BY b)) END AS input_hash FROM b GROUP BY cohort""")
+    SELECT cohort, sha256(string_agg(h, chr(10) ORDER BY b)) AS input_hash FROM b GROUP BY cohort""")
 def a22(spark, d):
     from litquarry.scale import global_rank
     o = table(spark, d, "orders", "o_orderkey", "o_orderpriority", "o_totalprice").select(

@@ -336,9 +336,9 @@ def r16(spark, d):
     from litquarry.plans.experiment import run_experiment
     q, s = questions(spark, d), sub_queries(spark, d)
     gold = docs(spark, d).join(labelled(spark, d).where("label = 'RELEVANT'"), "document_id").select(
-        F.explode(F.slice(tokens("title"), 1, 3)).alias("entity")).where(F.length("entity") >= 9).groupBy("entity").agg(F.count("*").alias("n")).orderBy(
-        c("n").desc(), "entity").limit(5)
+        F.explode(tokens("title")).alias("entity")).where(F.length("entity") >= 9).groupBy("entity").agg(F.count("*").alias("n")).orderBy(
+        c("n").desc(), "entity").limit(ex.MAX_ENTITY_TERMS)  # no more become terms of a query
     gold_entities = q.select("experiment_id").join(F.broadcast(gold), F.lit(True)).select("experiment_id", (-c("n")).alias("entity_no"), "entity")
-    families = {"BASELINE": q, "EXPANDED": s, "REVIEW_ENTITY": ex.entity_queries(q, s, _entities(spark, d), 1),
-                "GOLD_ENTITY": ex.entity_queries(q, s, gold_entities, 1)}
+    families = {"BASELINE": q, "EXPANDED": s, "REVIEW_ENTITY": ex.entity_queries(q, s, _entities(spark, d)),
+                "GOLD_ENTITY": ex.entity_queries(q, s, gold_entities)}
     return run_experiment(chunks(spark, d), families, labelled(spark, d))

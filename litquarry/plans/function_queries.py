@@ -340,16 +340,19 @@ def f21(spark, d):
         F.array_join(s["targets"], "|").alias("targets"))
 
 
-@query("f22_table_candidates", sql(r"""SELECT document_id, chunk_index AS page_number, source, kind, count(*) AS n FROM (SELECT *, 'TEXT_CAPTION' AS source,
-    CASE WHEN chunk_index % 3 = 0 OR regexp_matches(text, '(?i)EC\s*50|IC\s*50|MIC|CTC|fungicidal|activity|inhibition') THEN 'ACTIVITY' WHEN chunk_index % 3 = 1 THEN 'FORMULATION' ELSE 'UNKNOWN' END AS kind FROM chunks WHERE length(text) <= 60
-    UNION ALL SELECT *, 'TEXT_MATRIX', 'ACTIVITY' FROM chunks WHERE chunk_index % 3 = 0 AND length(text) <= 60) GROUP BY ALL""", "lines", "chunks"))
+@query("f22_table_candidates", sql(r"""SELECT document_id, page_number, source, kind, count(*) AS n FROM (SELECT document_id, page_number, source,
+    lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS line_key, min(CASE WHEN regexp_matches(line, '(?i)EC\s*50|IC\s*50|MIC|CTC|fungicidal|activity|inhibition') THEN 'ACTIVITY'
+      WHEN regexp_matches(line, '(?i)formulation|composition') THEN 'FORMULATION' WHEN regexp_matches(line, '(?i)formula|structure|synthesis|preparation') THEN 'STRUCTURE' ELSE 'UNKNOWN' END) AS kind
+    FROM (SELECT document_id, page_number, line, unnest(['TEXT_CAPTION', 'TEXT_MATRIX']) AS source, unnest([regexp_matches(line, '(?i)^\s*table\s+[\dIVX]+.{0,120}$'),
+        regexp_matches(line, '(?i)(EC\s*50|IC\s*50|MIC|CTC).{0,80}(compound|cmpd|treatment|ratio)|(compound|cmpd|treatment|ratio).{0,80}(EC\s*50|IC\s*50|MIC|CTC)')]) AS found
+      FROM (SELECT document_id, chunk_index AS page_number, 'Table ' || (chunk_index + 1) || CASE chunk_index % 3 WHEN 0 THEN ' EC50 by treatment ' WHEN 1 THEN ' formulation ' ELSE ' ' END || text AS line FROM chunks
+        UNION ALL SELECT document_id, chunk_index, text FROM chunks)) WHERE found GROUP BY ALL) GROUP BY ALL""", "lines", "chunks"))
 def f22(spark, d):
-    """Short lines are given a caption in front so that every rule fires somewhere."""
+    """Every line as it is and once more behind a caption, so that every rule fires somewhere."""
     k = c("chunk_index") % 3
-    t = chunks(spark, d).where(F.length("text") <= 60).select(
-        "document_id", c("chunk_index").alias("page_number"), F.lit(False).alias("activity_page"),
-        F.concat(F.lit("Table "), (c("chunk_index") + 1).cast("string"), F.when(k == 0, " EC50 by treatment ").when(k == 1, " formulation ").otherwise(" "),
-                 c("text")).alias("text"))
+    head = F.concat(F.lit("Table "), (c("chunk_index") + 1).cast("string"), F.when(k == 0, " EC50 by treatment ").when(k == 1, " formulation ").otherwise(" "))
+    t = chunks(spark, d).select("document_id", c("chunk_index").alias("page_number"), F.lit(False).alias("activity_page"),
+                                F.concat(head, c("text"), F.lit("\n"), c("text")).alias("text"))
     return co.table_candidates(t).groupBy("document_id", "page_number", "source", "kind").agg(F.count("*").alias("n"))
 
 

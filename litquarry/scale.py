@@ -42,6 +42,15 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
+def join_known(df: DataFrame, other: DataFrame, key: str, how: str) -> DataFrame:
+    """Left or left anti join by ``key`` in which null matches nothing and rows with null are spread over all tasks.
+
+    ``other`` holds no null key. A second join column, zero where the key is known, takes the other rows apart.
+    """
+    rest = F.when(F.col(key).isNull(), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).otherwise(F.lit(0).cast("long"))
+    return df.withColumn("_apart", rest).join(other.withColumn("_apart", F.lit(0).cast("long")), [key, "_apart"], how).drop("_apart")
+
+
 def same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Null-safe equality over ``keys``."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))

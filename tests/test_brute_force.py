@@ -51,8 +51,11 @@ def test_cohort_hash_levels(spark):
     df = spark.createDataFrame([("c", i + 1, v) for i, v in enumerate(ids)] + [("one", 1, "z")], "cohort string, ordinal long, document_id string")
     sha = lambda xs: hashlib.sha256("\n".join(xs).encode()).hexdigest()
     got = {r.cohort: r.input_hash for r in cp.cohort_hash(df, block=10).collect()}
-    assert got == {"c": sha([sha(ids[:10]), sha(ids[10:20]), sha(ids[20:])]), "one": sha(["z"])}
-    assert {r.cohort: r.input_hash for r in cp.cohort_hash(df).collect()}["c"] == sha(ids)
+    assert got == {"c": sha([sha(ids[:10]), sha(ids[10:20]), sha(ids[20:])]), "one": sha([sha(["z"])])}
+    assert {r.cohort: r.input_hash for r in cp.cohort_hash(df).collect()}["c"] == sha([sha(ids)])
+    deep = {r.cohort: r.input_hash for r in cp.cohort_hash(df, block=4).collect()}  # 7 blocks, 2, 1
+    low = [sha(ids[i:i + 4]) for i in range(0, 25, 4)]
+    assert deep == {"c": sha([sha(low[:4]), sha(low[4:])]), "one": sha([sha(["z"])])}
 
 
 # ---- packing -------------------------------------------------------------------------------------
@@ -147,9 +150,10 @@ EV_DDL = ("evidence_id string, document_id long, compound_name string, source_ca
           "model_confidence double, mechanism string, application string, conflict_group string, match_score double, structure_type string, rank long")
 
 
-def test_representative_selection_matches_plain_greedy(spark):
+def test_representative_selection_matches_plain_greedy(spark, monkeypatch):
     rnd = random.Random(6)
-    for n, limit in ((60, 6), (25, 40)):
+    for n, limit, step in ((60, 6, 1000), (60, 30, 5), (25, 40, 3)):
+        monkeypatch.setattr(rp, "STEP_ROWS", step)
         rows = _evidence(rnd, n)
         df = spark.createDataFrame(rows, EV_DDL)
         base = lambda r: (min(5, r[12]) + (8 if r[7] == "APPROVED" else 1) + (6 if r[11] else 0) + (5 if "no activity" in r[6] else 0) + (4 if r[9].strip() else 0) + (3 if r[10] else 0) + (r[8] or 0))
