@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,14 @@ WIDTH = 4  # 64-bit words of a fingerprint
 # ones in 128. A pair of that kind agrees on 18 given bits with a chance of one in 19, so on one of 64 choices nearly always.
 RADIUS = 62
 TABLES, AGREEING = 64, 18
+ALIKE = 0.848  # chance of one bit for such a pair
+MEAN_GROUP = 512  # unrelated rows that share a choice of bits, at most
+
+
+def mask_numbers(rows: int) -> tuple[int, int]:
+    """(choices, bits of each) for ``rows`` fingerprints: more rows are told apart by more bits, at the same recall."""
+    agreeing = max(AGREEING, math.ceil(math.log2(max(rows, 1) / MEAN_GROUP)))
+    return math.ceil(TABLES * ALIKE ** (AGREEING - agreeing)), agreeing
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -60,7 +69,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
     nodes = cut(facts.groupBy(F.col("_nd_digest").alias("node")).agg(
         F.min("fp").alias("fp"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_nd_row").alias("row"))).alias("least")))
     leads = cut(nodes.groupBy("fp").agg(F.min("node").alias("lead")))
-    pairs = near_pairs(leads, RADIUS, sampled_masks(TABLES, AGREEING, 64 * WIDTH), WIDTH, exact=False)
+    tables, agreeing = mask_numbers(leads.count())
+    pairs = near_pairs(leads, RADIUS, sampled_masks(tables, agreeing, 64 * WIDTH), WIDTH, exact=False)
     side = lambda c, name: leads.select(F.col("fp").alias(c), F.col("lead").alias(name))
     same = nodes.join(leads, "fp").where(F.col("node") != F.col("lead")).select(F.col("lead").alias("u"), F.col("node").alias("v"))
     pairs = cut(pairs.join(side("a", "u"), "a").join(side("b", "v"), "b").select("u", "v").union(same))

@@ -8,6 +8,7 @@ counted so far from node to node and drops a whole node as soon as they exceed t
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -24,6 +25,7 @@ GROUP_LIMIT = 4096  # rows of a group before it is divided
 LEAF, FAN = 16, 8  # rows under a lowest node, nodes under an upper one
 SMALL = 24  # groups up to this size are compared directly
 PIVOTS = 64
+FINER, EXTRA_BITS = 8, 4  # choices of further bits for a large group without exact masks, bits of each
 SPACES = b" \t\n\v\f\r"
 _ONES = np.uint64(0x0101010101010101)
 
@@ -280,51 +282,78 @@ def _groups(fps: DataFrame, masks: Sequence[int], width: int) -> DataFrame:
     return fps.select("fp").mapInPandas(run, "key long, route string, fp binary")
 
 
-def _refined(rows: DataFrame, masks: Sequence[int], radius: int, width: int) -> DataFrame:
-    """Rows of large groups under longer patterns: of the bits not shared yet, one of radius + 1 runs agrees in any near pair."""
+def sampled_blocks(mask: int, bits: int) -> list[int]:
+    """FINER choices of EXTRA_BITS bits outside ``mask``, the same ones whenever asked."""
+    free = [b for b in range(bits) if not mask >> b & 1]
+    rng = np.random.default_rng(mask)
+    return [sum(1 << int(b) for b in rng.choice(free, EXTRA_BITS, replace=False)) for _ in range(FINER)]
+
+
+def _refined(rows: DataFrame, masks: Sequence[int], radius: int, width: int, exact: bool) -> DataFrame:
+    """Rows of large groups under longer patterns.
+
+    Exactly: of the bits not shared yet, one of radius + 1 runs agrees in any near pair. Otherwise by sampled choices.
+    """
+    def blocks_of(mask: int) -> list[int]:
+        return sub_blocks(mask, radius + 1, 64 * width) if exact else sampled_blocks(mask, 64 * width)
+
     def mask_of(route: str) -> int:
         first, *path = map(int, route.split("."))
         mask = masks[first]
         for t in path:
-            mask |= sub_blocks(mask, radius + 1, 64 * width)[t]
+            mask |= blocks_of(mask)[t]
         return mask
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for route, own in pdf.groupby("route", sort=False):
                 fp = as_rows(own["fp"])
-                for t, block in enumerate(sub_blocks(mask_of(route), radius + 1, 64 * width)):
+                for t, block in enumerate(blocks_of(mask_of(route))):
                     if block:
                         yield pd.DataFrame({"key": masked_key(fp, mask_words(block, width), spread_hash(own["key"].to_numpy().view(np.uint64), t + 1)),
                                             "route": f"{route}.{t}", "fp": own["fp"].to_numpy()})
     return rows.mapInPandas(run, "key long, route string, fp binary")
 
 
+def _tight(hot: DataFrame, radius: int) -> DataFrame:
+    """(key, count) of the groups more than half of whose rows are within ``radius`` of the group's ``pivot``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["key"]].assign(near=(differing(as_rows(pdf["fp"]), as_rows(pdf["pivot"])) <= radius) if len(pdf) else [])
+    near = hot.select("key", "fp", "pivot").mapInPandas(run, "key long, near boolean")
+    return near.groupBy("key").agg(F.count("*").alias("count"), F.count_if("near").alias("near")).where("2 * near > count").select("key", "count")
+
+
+def _in_parts(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """Rows of the groups ``large`` in parts of about GROUP_LIMIT by a hash, PIVOTS rows of the group in every part."""
+    hot = rows.join(large, "key").withColumn("_parts", F.ceil(F.col("count") / GROUP_LIMIT))
+    pivot = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("count")) < PIVOTS
+    part = F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), F.col("_parts"))))
+    return hot.select("key", "route", "fp", F.explode(part).alias("_part")).select(F.xxhash64("key", "_part").alias("key"), "route", "fp")
+
+
 def near_pairs(fps: DataFrame, radius: int, masks: Sequence[int], width: int = 1, exact: bool = True) -> DataFrame:
     """(a, b, bits): fingerprints within ``radius`` bits that share a masked pattern; of each group a minimum spanning forest.
 
     ``fps`` holds distinct ``fp``. With ``exact_masks`` no link is lost: every near pair is connected through its
     group's forest. Groups of over GROUP_LIMIT rows are divided. Exactly: by further bits, of which every near pair
-    shares a run, until a group's free bits bound it (32 free bits, then 22, then 15). Otherwise: by a hash, with
-    PIVOTS rows of the group in every part. No fingerprint gives no pair.
+    shares a run, until a group's free bits bound it (32 free bits, then 22, then 15). Otherwise: where most rows are
+    near one of them, by a hash with PIVOTS common rows, which keep such rows together; elsewhere by sampled further
+    bits, and by the hash only what two such divisions leave large. No fingerprint gives no pair.
     """
-    rows, done = cut(_groups(fps, masks, width)), None
-    for _ in range(3):
-        large = rows.groupBy("key").count().where(F.col("count") > GROUP_LIMIT)
+    rows, done = cut(_groups(fps, masks, width)), []
+    for left in (2, 1, 0):
+        large = rows.groupBy("key").agg(F.count("*").alias("count"), F.min("fp").alias("pivot")).where(F.col("count") > GROUP_LIMIT)
         large = small_side(cut(large))
         if not large.limit(1).count():
             break
-        calm = rows.join(large, "key", "left_anti")
-        done = calm if done is None else done.unionByName(calm)
-        if exact:
-            rows = cut(_refined(rows.join(large.select("key"), "key", "left_semi"), masks, radius, width))
-            continue
-        hot = rows.join(large, "key").withColumn("_parts", F.ceil(F.col("count") / GROUP_LIMIT))
-        pivot = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("count")) < PIVOTS
-        part = F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), F.col("_parts"))))
-        rows = cut(hot.select("key", "route", "fp", F.explode(part).alias("_part")).select(F.xxhash64("key", "_part").alias("key"), "route", "fp"))
-        break
-    rows = (rows if done is None else done.unionByName(rows)).select("key", "fp")
+        done.append(rows.join(large.select("key"), "key", "left_anti"))
+        if not exact:
+            together = large.select("key", "count") if not left else small_side(cut(_tight(rows.join(large, "key"), radius)))
+            done.append(cut(_in_parts(rows, together)))
+            large = large.join(together.select("key"), "key", "left_anti")
+        rows = cut(_refined(rows.join(large.select("key"), "key", "left_semi"), masks, radius, width, exact))
+    rows = reduce(DataFrame.unionByName, [*done, rows]).select("key", "fp")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None

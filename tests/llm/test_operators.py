@@ -208,6 +208,31 @@ def test_near_pairs_connect_dense_groups(spark, limit, monkeypatch):
     assert grouped(fps, [(a, b) for a, b, _ in pairs]) == want
 
 
+def test_large_groups_without_exact_masks_keep_their_links(spark, monkeypatch):
+    """One group: unrelated rows, twins at the distance of 0.8 similarity, and a dense cluster of a third of all rows."""
+    monkeypatch.setattr(simhash, "GROUP_LIMIT", 100)
+    rng = random.Random(8)
+    flipped = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(238), n))
+    base = [(5 << 238) + rng.getrandbits(238) for _ in range(1500)]
+    twins = [(x, flipped(x, 39)) for x in base[:200]]
+    dense = [flipped(base[300], rng.randint(1, 20)) for _ in range(800)]
+    fps = sorted({*base, *(t for _, t in twins), *dense})
+    df = spark.createDataFrame([(bytearray(x.to_bytes(32, "big")),) for x in fps], "fp binary")
+    pairs = simhash.near_pairs(df, 62, [((1 << 18) - 1) << 238], 4, exact=False).collect()
+    links = [(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in pairs]
+    assert all((a ^ b).bit_count() <= 62 for a, b in links)
+    label = grouped(fps, links)
+    assert sum(label[a] == label[b] for a, b in twins) >= 190
+    assert len({label[x] for x in dense}) == 1
+
+
+def test_more_rows_take_more_masks():
+    assert near_duplicates.mask_numbers(0) == near_duplicates.mask_numbers(100_000_000) == (64, 18)
+    tables, bits = near_duplicates.mask_numbers(30_000_000_000)
+    assert 30_000_000_000 / 2**bits <= near_duplicates.MEAN_GROUP
+    assert abs((1 - 0.848**bits) ** tables - (1 - 0.848**18) ** 64) < 0.01
+
+
 def test_gray_rank_inverts_the_gray_code():
     n = np.arange(5000, dtype=np.uint64)
     assert (simhash.gray_rank((n ^ (n >> np.uint64(1)))[:, None])[:, 0] == n).all()
