@@ -316,11 +316,12 @@ def _refined(rows: DataFrame, masks: Sequence[int], radius: int, width: int, exa
 
 
 def _tight(hot: DataFrame, radius: int) -> DataFrame:
-    """(key, count) of the groups more than half of whose rows are within ``radius`` of the group's ``pivot``."""
+    """(key, count) of the groups more than half of whose rows are within ``radius`` of one of them."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf[["key"]].assign(near=(differing(as_rows(pdf["fp"]), as_rows(pdf["pivot"])) <= radius) if len(pdf) else [])
-    near = hot.select("key", "fp", "pivot").mapInPandas(run, "key long, near boolean")
+    pivots = small_side(hot.groupBy("key").agg(F.min("fp").alias("pivot")))
+    near = hot.select("key", "fp").join(pivots, "key").mapInPandas(run, "key long, near boolean")
     return near.groupBy("key").agg(F.count("*").alias("count"), F.count_if("near").alias("near")).where("2 * near > count").select("key", "count")
 
 
@@ -343,13 +344,13 @@ def near_pairs(fps: DataFrame, radius: int, masks: Sequence[int], width: int = 1
     """
     rows, done = cut(_groups(fps, masks, width)), []
     for left in (2, 1, 0):
-        large = rows.groupBy("key").agg(F.count("*").alias("count"), F.min("fp").alias("pivot")).where(F.col("count") > GROUP_LIMIT)
+        large = rows.groupBy("key").count().where(F.col("count") > GROUP_LIMIT)
         large = small_side(cut(large))
         if not large.limit(1).count():
             break
         done.append(rows.join(large.select("key"), "key", "left_anti"))
         if not exact:
-            together = large.select("key", "count") if not left else small_side(cut(_tight(rows.join(large, "key"), radius)))
+            together = large if not left else small_side(cut(_tight(rows.join(large.select("key"), "key", "left_semi"), radius)))
             done.append(cut(_in_parts(rows, together)))
             large = large.join(together.select("key"), "key", "left_anti")
         rows = cut(_refined(rows.join(large.select("key"), "key", "left_semi"), masks, radius, width, exact))
