@@ -7,7 +7,7 @@ counted so far from node to node and drops a whole node as soon as they exceed t
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -208,8 +208,8 @@ def forest(u: np.ndarray, v: np.ndarray, weight: np.ndarray, n: int) -> np.ndarr
     return order[np.concatenate(chosen)] if chosen else np.zeros(0, np.int64)
 
 
-def group_edges(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, differences): a minimum spanning forest of the pairs within ``radius`` of rows with equal keys."""
+def group_pairs(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, i, j, differences): all pairs within ``radius`` of rows with equal keys; i and j are places in ``order``."""
     order = np.lexsort((*gray_rank(fp).T[::-1], key))
     key, fp = key[order], fp[order]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -227,11 +227,15 @@ def group_edges(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarra
     for a, n in zip(first[sizes > SMALL], sizes[sizes > SMALL]):
         i, j, d = search_group(fp[a:a + n], radius)
         out.append((i + a, j + a, d))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    i, j, d = (np.concatenate(x) for x in zip(*out))
+    i, j, d = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+    return order, i, j, d
+
+
+def group_edges(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, differences, keys): a minimum spanning forest of the pairs within ``radius`` of rows with equal keys, and the keys with more pairs."""
+    order, i, j, d = group_pairs(key, fp, radius)
     kept = forest(i, j, d, len(key))
-    return order[i[kept]], order[j[kept]], d[kept]
+    return order[i[kept]], order[j[kept]], d[kept], np.unique(key[order[np.delete(i, kept)]])
 
 
 # --- over all documents -----------------------------------------------------------------------------------------
@@ -333,14 +337,13 @@ def _in_parts(rows: DataFrame, large: DataFrame) -> DataFrame:
     return hot.select("key", "route", "fp", F.explode(part).alias("_part")).select(F.xxhash64("key", "_part").alias("key"), "route", "fp")
 
 
-def near_pairs(fps: DataFrame, radius: int, masks: Sequence[int], width: int = 1, exact: bool = True) -> DataFrame:
-    """(a, b, bits): fingerprints within ``radius`` bits that share a masked pattern; of each group a minimum spanning forest.
+def near_groups(fps: DataFrame, radius: int, masks: Sequence[int], width: int = 1, exact: bool = True) -> DataFrame:
+    """(key, fp): ``fps``, whose ``fp`` are distinct, in the groups of rows to be compared with each other.
 
-    ``fps`` holds distinct ``fp``. With ``exact_masks`` no link is lost: every near pair is connected through its
-    group's forest. Groups of over GROUP_LIMIT rows are divided. Exactly: by further bits, of which every near pair
-    shares a run, until a group's free bits bound it (32 free bits, then 22, then 15). Otherwise: where most rows are
-    near one of them, by a hash with PIVOTS common rows, which keep such rows together; elsewhere by sampled further
-    bits, and by the hash only what two such divisions leave large. No fingerprint gives no pair.
+    With ``exact_masks`` every near pair meets in a group. Groups of over GROUP_LIMIT rows are divided. Exactly: by
+    further bits, of which every near pair shares a run, until a group's free bits bound it (32 free bits, then 22,
+    then 15). Otherwise: where most rows are near one of them, by a hash with PIVOTS common rows; elsewhere by
+    sampled further bits, and by the hash what two such divisions leave large.
     """
     rows, done = cut(_groups(fps, masks, width)), []
     for left in (2, 1, 0):
@@ -354,8 +357,11 @@ def near_pairs(fps: DataFrame, radius: int, masks: Sequence[int], width: int = 1
             done.append(cut(_in_parts(rows, together)))
             large = large.join(together.select("key"), "key", "left_anti")
         rows = cut(_refined(rows.join(large.select("key"), "key", "left_semi"), masks, radius, width, exact))
-    rows = reduce(DataFrame.unionByName, [*done, rows]).select("key", "fp")
+    return reduce(DataFrame.unionByName, [*done, rows]).select("key", "fp")
 
+
+def by_key(rows: DataFrame, found: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``found`` of all rows of some keys at a time; the rows of a key are never parted."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
         for pdf in batches:  # sorted by key, so the last key of a batch may go on in the next
@@ -368,15 +374,30 @@ def near_pairs(fps: DataFrame, radius: int, masks: Sequence[int], width: int = 1
         if kept is not None:
             yield found(kept)
 
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(run, schema)
+
+
+def forests(groups: DataFrame, radius: int) -> DataFrame:
+    """(a, b, bits, key): a minimum spanning forest of each group's pairs within ``radius``; of a group with more pairs also a row of its key only."""
     def found(own: pd.DataFrame) -> pd.DataFrame:
         raw = own["fp"].to_numpy()
-        i, j, bits = group_edges(own["key"].to_numpy(), as_rows(own["fp"]), radius)
+        i, j, bits, more = group_edges(own["key"].to_numpy(), as_rows(own["fp"]), radius)
         swap = np.fromiter((bytes(raw[x]) > bytes(raw[y]) for x, y in zip(i, j)), bool, len(i))
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        return pd.DataFrame({"a": raw[i], "b": raw[j], "bits": bits})
+        none = [None] * len(more)
+        return pd.DataFrame({"a": [*raw[i], *none], "b": [*raw[j], *none], "bits": pd.array([*bits, *none], "Int32"),
+                             "key": pd.array([None] * len(i) + [*more], "Int64")})
 
-    pairs = rows.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a binary, b binary, bits int")
-    return pairs.groupBy("a", "b").agg(F.min("bits").alias("bits"))
+    return by_key(groups, found, "a binary, b binary, bits int, key long")
+
+
+def near_pairs(fps: DataFrame, radius: int, masks: Sequence[int], width: int = 1, exact: bool = True) -> DataFrame:
+    """(a, b, bits): of each of ``near_groups`` a minimum spanning forest of the pairs within ``radius`` bits.
+
+    Links by bits alone lose nothing thereby: every near pair of a group is connected through its forest. No
+    fingerprint gives no pair.
+    """
+    return forests(near_groups(fps, radius, masks, width, exact), radius).where("a is not null").groupBy("a", "b").agg(F.min("bits").alias("bits"))
 
 
 def link_documents(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:

@@ -263,6 +263,30 @@ def test_near_duplicates_against_all_pairs(spark, docs):
     assert sorted(got) == sorted(set(want.values())) + [900]
 
 
+def template_family(seed, members, twins):
+    """Texts of one template with 4 of 200 words changed each, and near copies of the first ones at a similarity just over 0.8."""
+    rng = random.Random(seed)
+    changed = lambda words, at: [f"n{rng.random()}" if k in at else w for k, w in enumerate(words)]
+    template = [f"t{k}" for k in range(200)]
+    rows = [changed(template, set(rng.sample(range(200), 4))) for _ in range(members)]
+    rows += [changed(w, set(rng.sample(range(5, 195, 6), 4))) for w in rows[:twins]]
+    shingles = [{tuple(w[i:i + 5]) for i in range(196)} for w in rows]
+    links = [(i, j) for i, a in enumerate(shingles) for j, b in enumerate(shingles[:i]) if len(a & b) >= 0.8 * len(a | b)]
+    return [" ".join(w) for w in rows], links
+
+
+@pytest.mark.parametrize("set_bytes", [1 << 25, 100_000])
+def test_near_duplicates_in_a_template_family(spark, set_bytes, monkeypatch):
+    """Lighter pairs of less than 0.8 similarity join the ends of the true ones, which are kept all the same."""
+    monkeypatch.setattr(near_duplicates, "SET_BYTES", set_bytes)
+    monkeypatch.setattr(near_duplicates, "sampled_masks", lambda *_: [0])  # all texts in one group
+    rows, links = template_family(3, 300, 100)
+    want = grouped(range(len(rows)), links)
+    assert 80 <= len(links) <= 1000
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_duplicates.keep_one(df).collect()) == sorted(set(want.values()))
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 60)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
