@@ -24,7 +24,6 @@ PIECE_BYTES = 1 << 20  # of a text split into words at once
 GROUP_LIMIT = 4096  # rows of a group before it is divided
 LEAF, FAN = 16, 8  # rows under a lowest node, nodes under an upper one
 SMALL = 24  # groups up to this size are compared directly
-PIVOTS = 64
 FINER, EXTRA_BITS = 8, 4  # choices of further bits for a large group without exact masks, bits of each
 SPACES = b" \t\n\v\f\r"
 _ONES = np.uint64(0x0101010101010101)
@@ -329,12 +328,12 @@ def _tight(hot: DataFrame, radius: int) -> DataFrame:
     return near.groupBy("key").agg(F.count("*").alias("count"), F.count_if("near").alias("near")).where("2 * near > count").select("key", "count")
 
 
-def _in_parts(rows: DataFrame, large: DataFrame) -> DataFrame:
-    """Rows of the groups ``large`` in parts of about GROUP_LIMIT by a hash, PIVOTS rows of the group in every part."""
-    hot = rows.join(large, "key").withColumn("_parts", F.ceil(F.col("count") / GROUP_LIMIT))
-    pivot = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("count")) < PIVOTS
-    part = F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), F.col("_parts"))))
-    return hot.select("key", "route", "fp", F.explode(part).alias("_part")).select(F.xxhash64("key", "_part").alias("key"), "route", "fp")
+def _in_blocks(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """Rows of the groups ``large`` in blocks of about half of GROUP_LIMIT by a hash; every two blocks are a group."""
+    hot = rows.join(large, "key").withColumn("_blocks", F.ceil(2 * F.col("count") / GROUP_LIMIT)).withColumn("_own", F.pmod(F.xxhash64("fp"), F.col("_blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_other")
+    pair = (F.least("_own", "_other"), F.greatest("_own", "_other"))  # two blocks hold each one's own pairs too
+    return hot.select("key", "route", "fp", "_own", other).where("_own != _other").select(F.xxhash64("key", *pair).alias("key"), "route", "fp")
 
 
 def near_groups(fps: DataFrame, radius: int, masks: Sequence[int], width: int = 1, exact: bool = True) -> DataFrame:
@@ -342,8 +341,8 @@ def near_groups(fps: DataFrame, radius: int, masks: Sequence[int], width: int =
 
     With ``exact_masks`` every near pair meets in a group. Groups of over GROUP_LIMIT rows are divided. Exactly: by
     further bits, of which every near pair shares a run, until a group's free bits bound it (32 free bits, then 22,
-    then 15). Otherwise: where most rows are near one of them, by a hash with PIVOTS common rows; elsewhere by
-    sampled further bits, and by the hash what two such divisions leave large.
+    then 15). Otherwise: where most rows are near one of them, by blocks of which every two are a group, so that no
+    pair is lost; elsewhere by sampled further bits, and by blocks what two such divisions leave large.
     """
     rows, done = cut(_groups(fps, masks, width)), []
     for left in (2, 1, 0):
@@ -354,7 +353,7 @@ def near_groups(fps: DataFrame, radius: int, masks: Sequence[int], width: int =
         done.append(rows.join(large.select("key"), "key", "left_anti"))
         if not exact:
             together = large if not left else small_side(cut(_tight(rows.join(large.select("key"), "key", "left_semi"), radius)))
-            done.append(cut(_in_parts(rows, together)))
+            done.append(cut(_in_blocks(rows, together)))
             large = large.join(together.select("key"), "key", "left_anti")
         rows = cut(_refined(rows.join(large.select("key"), "key", "left_semi"), masks, radius, width, exact))
     return reduce(DataFrame.unionByName, [*done, rows]).select("key", "fp")

@@ -287,6 +287,20 @@ def test_near_duplicates_in_a_template_family(spark, set_bytes, monkeypatch):
     assert sorted(r.doc_id for r in near_duplicates.keep_one(df).collect()) == sorted(set(want.values()))
 
 
+def test_rows_of_a_large_tight_group_all_meet(spark, monkeypatch):
+    """A tight group is divided, and yet every two of its rows are in a group together, which stays bounded."""
+    monkeypatch.setattr(simhash, "GROUP_LIMIT", 100)
+    rng = random.Random(6)
+    fps = [sum(1 << b for b in rng.sample(range(256), 25)).to_bytes(32, "big") for _ in range(400)]
+    df = spark.createDataFrame([(bytearray(x),) for x in fps], "fp binary")
+    groups = {}
+    for r in simhash.near_groups(df, 62, [0], 4, exact=False).collect():
+        groups.setdefault(r.key, set()).add(bytes(r.fp))
+    met = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    assert len(met) == 400 * 399 // 2
+    assert max(map(len, groups.values())) <= 160
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 60)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
