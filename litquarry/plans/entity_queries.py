@@ -276,15 +276,23 @@ EXPAND = VOCAB + """, tx AS (SELECT experiment_id, query FROM questions UNION AL
    (SELECT experiment_id, trim(regexp_replace(query, '\\s+', ' ', 'g')) AS query, min((p, o)) AS po FROM ql WHERE trim(query) <> '' GROUP BY ALL)) WHERE query_no < 36)"""
 
 
-def _expanded(spark, d):
+def _expanded(spark, d, translated):
     v = _vocab(spark, d)
     related = v.where(F.length("alias") >= 9).select("canonical", c("alias").alias("term")).distinct()
-    return ex.vocabulary_expansion(questions(spark, d), sub_queries(spark, d), v, related)
+    return ex.vocabulary_expansion(questions(spark, d), sub_queries(spark, d), v, related, translated)
 
 
 @query("r12_vocabulary_expansion", sql("SELECT * FROM qu", "questions", "sub", extra=EXPAND))
 def r12(spark, d):
-    return _expanded(spark, d)
+    return _expanded(spark, d, False)
+
+
+@query("r12_expansion_with_translated", sql("""SELECT experiment_id, row_number() OVER (PARTITION BY experiment_id ORDER BY po, query) - 1 AS query_no, query FROM (SELECT experiment_id, trim(regexp_replace(query, '\\s+', ' ', 'g')) AS query, min((p, o)) AS po FROM
+    (SELECT experiment_id, 0 AS p, query_no AS o, query FROM qu UNION ALL SELECT experiment_id, 1, query_no, query || ' ' || string_agg(canonical, ' ' ORDER BY canonical) FROM (SELECT DISTINCT experiment_id, query_no, query, canonical FROM qu, vocab WHERE contains(lower(query), alias)) GROUP BY experiment_id, query_no, query)
+    GROUP BY ALL) QUALIFY query_no < 36""", "questions", "sub", extra=EXPAND))
+def r12_whole(spark, d):
+    """The whole expansion: r12_vocabulary_expansion and behind it the translated form of each of its queries."""
+    return _expanded(spark, d, True)
 
 
 @query("r12_translated_queries", sql("""SELECT experiment_id, query_no, query || ' ' || string_agg(canonical, ' ' ORDER BY canonical) AS query FROM (SELECT DISTINCT experiment_id, query_no, query, canonical FROM sub, vocab WHERE contains(lower(query), alias)) GROUP BY experiment_id, query_no, query""", "sub", extra=VOCAB))
