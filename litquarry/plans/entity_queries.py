@@ -306,6 +306,13 @@ def u5(spark, d):
     return ex.linked_union([questions(spark, d).withColumnRenamed("query_no", "ord"), sub_queries(spark, d).withColumnRenamed("query_no", "ord")], 5)
 
 
+@query("u5_linked_query_union_36", sql("""SELECT experiment_id, row_number() OVER (PARTITION BY experiment_id ORDER BY po, query) - 1 AS query_no, query FROM (SELECT experiment_id, trim(regexp_replace(query, '\\s+', ' ', 'g')) AS query, min((p, o)) AS po FROM
+    (SELECT experiment_id, 0 AS p, 0 AS o, query FROM questions UNION ALL SELECT experiment_id, 1, query_no, query FROM sub) GROUP BY ALL) QUALIFY query_no < 36""", "questions", "sub"))
+def u5_whole(spark, d):
+    """The union with as many queries as the reference takes."""
+    return ex.linked_union([questions(spark, d).withColumnRenamed("query_no", "ord"), sub_queries(spark, d).withColumnRenamed("query_no", "ord")])
+
+
 ENTQ = f"""en0 AS (SELECT experiment_id, w AS entity, i AS entity_no FROM (SELECT experiment_id, generate_subscripts({tok('query')}, 1) AS i, unnest({tok('query')}) AS w FROM questions) WHERE length(w) >= 9),
  en1 AS (SELECT experiment_id, entity, row_number() OVER (PARTITION BY experiment_id ORDER BY n, entity) AS e FROM (SELECT experiment_id, entity, min(entity_no) AS n FROM en0 GROUP BY ALL) QUALIFY e <= 20),
  xb AS (SELECT s.experiment_id, s.query, row_number() OVER (PARTITION BY s.experiment_id ORDER BY s.query_no) AS x FROM sub s JOIN questions q ON q.experiment_id=s.experiment_id WHERE s.query <> q.query QUALIFY x <= 20),

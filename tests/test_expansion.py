@@ -25,3 +25,8 @@ def test_translated_queries_end_the_expansion(spark):
 
 def test_whole_expansion_agrees_with_its_sql(spark):
     agrees(spark, "r12_expansion_with_translated")
+
+
+def test_union_of_queries_goes_past_the_fifth(spark):
+    agrees(spark, "u5_linked_query_union_36")
+    assert entry.queries()["u5_linked_query_union_36"](spark, FOLDER).where("query_no >= 5").count()
