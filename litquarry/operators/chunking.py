@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import math
 import re
+from itertools import accumulate
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from litquarry.functions.core import is_blank
 from litquarry.functions.pages import contains_any
 from litquarry.operators.scan import BLOCK, blocked_scan, jump_summary
-from litquarry.scale import cut, global_rank, spread
+from litquarry.scale import cut, global_rank
 
 TARGET_TOKENS, MAX_TOKENS, OVERLAP = 700, 900, 1
 CONTEXT_SECTIONS = ["abstract", "摘要", "method", "材料", "方法", "result", "结果", "table", "figure"]
@@ -29,38 +29,53 @@ def _ascii(text: str) -> int:
 def split_units(units: DataFrame, title: str | None = None, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Units longer than a chunk become several parts at white space; ``part`` numbers them.
 
-    ``units(document_id, ord, content_type, section_path, paragraph, sentence, text[, title])``.
+    ``units(document_id, ord, content_type, section_path, paragraph, sentence, text[, title])``. Sizes are counted by
+    column functions; only the units that are too long are read by Python.
     """
     def parts(batches):
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                head = _prefix(getattr(row, "title", None), row.section_path)
-                base = (_ascii(head), len(head) - _ascii(head))
-                size = lambda s: _tokens(base[0] + _ascii(s), base[1] + len(s) - _ascii(s))
-                if size(row.text) <= max_tokens:
-                    out.append((*row, 0))
-                    continue
+                *fields, base_ascii, base_wide = row
                 a = w = n = 0
                 words: list[str] = []
-                for word in re.split(r"\s+", row.text):
+                for word in re.split(r"\s+", fields.pop()):
                     wa, ww = _ascii(word), len(word) - _ascii(word)
                     gap = 1 if words else 0
-                    if words and _tokens(base[0] + a + gap + wa, base[1] + w + ww) > max_tokens:
-                        out.append((*row._replace(text=" ".join(words)), n))
+                    if words and _tokens(base_ascii + a + gap + wa, base_wide + w + ww) > max_tokens:
+                        out.append((*fields, " ".join(words), n))
                         n, words, a, w, gap = n + 1, [], 0, 0, 0
                     words.append(word)
                     a, w = a + gap + wa, w + ww
                 if words:
-                    out.append((*row._replace(text=" ".join(words)), n))
-            yield pd.DataFrame(out, columns=[*pdf.columns, "part"])
+                    out.append((*fields, " ".join(words), n))
+            yield pd.DataFrame(out, columns=[*others, "text", "part"])
 
-    return units.mapInPandas(parts, T.StructType(units.schema.fields + [T.StructField("part", T.IntegerType())]))
+    others = [n for n in units.columns if n != "text"]
+    too_long, head = _size_of(units) > max_tokens, _head(units.columns)
+    wide = _wide_chars(head)
+    oversized = units.where(too_long).select(*others, "text", (F.length(head) - wide).alias("_ha"), wide.alias("_hw"))
+    schema = T.StructType([units.schema[n] for n in [*others, "text"]] + [T.StructField("part", T.IntegerType())])
+    return units.where(~too_long).withColumn("part", F.lit(0)).unionByName(oversized.mapInPandas(parts, schema))
 
 
-def _prefix(title, section) -> str:
-    head = f"Paper: {title}\n" if isinstance(title, str) and title.strip() else ""
-    return head + (f"Section: {section}\n" if isinstance(section, str) and section.strip() else "")
+def _wide_chars(text: Column) -> Column:
+    """Code points outside ASCII, each of which counts as a token."""
+    return F.length(F.regexp_replace(text, "[\\x00-\\x7F]+", ""))
+
+
+def _head(columns: list[str]) -> Column:
+    """The lines in front of every chunk of a section."""
+    title = F.coalesce(F.col("title"), F.lit("")) if "title" in columns else F.lit("")
+    section = F.coalesce(F.col("section_path"), F.lit(""))
+    return F.concat(F.when(is_blank(title), "").otherwise(F.concat(F.lit("Paper: "), title, F.lit("\n"))),
+                    F.when(is_blank(section), "").otherwise(F.concat(F.lit("Section: "), section, F.lit("\n"))))
+
+
+def _size_of(units: DataFrame) -> Column:
+    whole = F.concat(_head(units.columns), F.col("text"))
+    wide = _wide_chars(whole)
+    return F.ceil((F.length(whole) - wide) / 4) + wide
 
 
 CHUNK_SCHEMA = T.StructType([
@@ -84,22 +99,19 @@ def chunk(units: DataFrame, target: int = TARGET_TOKENS, maximum: int = MAX_TOKE
     cols = [*key, "title", "ord", "paragraph", "sentence", "text"]
     have = units if "title" in units.columns else units.withColumn("title", F.lit(None).cast("string"))
     have = have.na.fill("", ["content_type", "section_path"])
-    parts = split_units(spread(have.where(~is_blank("text")).select(*cols), "document_id", "ord"), max_tokens=maximum)
-    rows = global_rank(parts, key, [F.col("ord"), F.col("part")], "pos")
+    parts = split_units(have.where(~is_blank("text")).select(*cols), max_tokens=maximum)
+    head = _head(parts.columns)
+    rows = parts.withColumn("_w", _wide_chars(F.col("text"))).withColumn("_a", F.length("text") - F.col("_w")).withColumn(
+        "_hw", _wide_chars(head)).withColumn("_ha", F.length(head) - F.col("_hw")).drop("title")
     # one token is at least two characters of a unit and its blank
     reach = 4 * maximum + overlap + 1
     base = overlap + 2
 
-    def plan(pdf: pd.DataFrame):
+    def plan(cols: dict[str, list]):
         """Function (start, units already in) -> (end, next start, next units in)."""
-        texts = pdf["text"].tolist()
-        wide = np.array([len(t) - _ascii(t) for t in texts])
-        size = np.array([len(t) for t in texts])
-        ca, cw = np.concatenate([[0], np.cumsum(size - wide + 1)]).tolist(), np.concatenate([[0], np.cumsum(wide)]).tolist()
-        head = _prefix(pdf["title"].iloc[0], pdf["section_path"].iloc[0])
-        ha, hw = _ascii(head), len(head) - _ascii(head)
+        ca, cw = [0, *accumulate(a + 1 for a in cols["_a"])], [0, *accumulate(cols["_w"])]
+        ha, hw, n = cols["_ha"][0], cols["_hw"][0], len(cols["_a"])
         tok = lambda i, j: _tokens(ha + ca[j] - ca[i] - 1, hw + cw[j] - cw[i])
-        n = len(texts)
 
         def step(s: int, have_in: int):
             e = min(s + have_in, n)
@@ -115,8 +127,8 @@ def chunk(units: DataFrame, target: int = TARGET_TOKENS, maximum: int = MAX_TOKE
             return e, nxt, e - nxt + 1
         return step, n
 
-    def summarise(pdf: pd.DataFrame, own: int):
-        step, n = plan(pdf)
+    def summarise(cols: dict[str, list], own: int):
+        step, n = plan(cols)
         memo: dict[tuple[int, int], tuple[int, int]] = {}
 
         def leave(state):
@@ -138,22 +150,20 @@ def chunk(units: DataFrame, target: int = TARGET_TOKENS, maximum: int = MAX_TOKE
             for k in range(1, overlap + 2):
                 yield s * base + k, (s - own) * base + k, 0
 
-    def emit(pdf: pd.DataFrame, own: int, entry: int, count: int) -> pd.DataFrame:
-        step, n = plan(pdf)
+    def emit(cols: dict[str, list], own: int, entry: int, count: int):
+        step, n = plan(cols)
         s, k = divmod(entry, base)
-        out = []
-        group = [pdf[g].iloc[0] for g in key]
-        texts, ords, paragraphs, sentence = (pdf[x].tolist() for x in ("text", "ord", "paragraph", "sentence"))
+        group = [cols[g][0] for g in key]
+        texts, ords, paragraphs, sentence = (cols[x] for x in ("text", "ord", "paragraph", "sentence"))
         while s < own and s < n:
             e, s2, k2 = step(s, k)
             count += 1
-            out.append((*group, count, ords[s], paragraphs[s], sentence[s], sentence[e - 1], e - s, " ".join(texts[s:e])))
+            yield (*group, count, ords[s], paragraphs[s], sentence[s], sentence[e - 1], e - s, " ".join(texts[s:e]))
             if e >= n:
                 break
             s, k = s2, k2
-        return pd.DataFrame(out, columns=CHUNK_SCHEMA.names)
 
-    packed = blocked_scan(rows, key, summarise, emit, CHUNK_SCHEMA, start=1, block=max(block, 1), halo=reach)
+    packed = blocked_scan(rows, key, ["ord", "part"], summarise, emit, CHUNK_SCHEMA, start=1, block=block, halo=reach)
     return _number(cut(packed), key)  # read for numbering as well as for output
 
 
@@ -180,22 +190,20 @@ def analysis_windows(chunks: DataFrame, max_chunks: int = 8, max_chars: int = 28
     """
     max_chunks, max_chars = max(1, max_chunks), max(1000, max_chars)
     overlap = min(max(0, overlap), max_chunks - 1)
-    rows = global_rank(chunks.where(~is_blank("text")).select("document_id", "chunk_index", "chunk_id", F.length("text").alias("size")),
-                       ["document_id"], [F.col("chunk_index"), F.col("chunk_id")], "pos")
-    return _pack(rows, WINDOW_SCHEMA, max_chunks, max_chars, overlap, block)
+    rows = chunks.where(~is_blank("text")).select("document_id", "chunk_index", "chunk_id", F.length("text").alias("size"))
+    return _pack(rows, ["chunk_index", "chunk_id"], WINDOW_SCHEMA, max_chunks, max_chars, overlap, block)
 
 
 def source_batches(items: DataFrame, order: list[str], size: str, max_items: int = 12, max_size: int = 24_000,
                    block: int = BLOCK) -> DataFrame:
     """Consecutive batches bounded by item count and summed size; ``items(document_id, ...)``."""
-    rows = global_rank(items.select("document_id", *order, F.col(size).cast("long").alias("size")), ["document_id"],
-                       [F.col(o) for o in order], "pos")
-    return _pack(rows, WINDOW_SCHEMA, max_items, max_size, 0, block)
+    rows = items.select("document_id", *order, F.col(size).cast("long").alias("size"))
+    return _pack(rows, order, WINDOW_SCHEMA, max_items, max_size, 0, block)
 
 
-def _pack(rows: DataFrame, schema: T.StructType, max_rows: int, max_size: int, overlap: int, block: int) -> DataFrame:
-    def ends(pdf: pd.DataFrame):
-        sizes = pdf["size"].to_numpy()
+def _pack(rows: DataFrame, order: list[str], schema: T.StructType, max_rows: int, max_size: int, overlap: int, block: int) -> DataFrame:
+    def ends(cols: dict[str, list]):
+        sizes = cols["size"]
         n = len(sizes)
 
         def end(s: int) -> tuple[int, int]:
@@ -203,30 +211,29 @@ def _pack(rows: DataFrame, schema: T.StructType, max_rows: int, max_size: int, o
             while e < n and e - s < max_rows and (e == s or total + sizes[e] <= max_size):
                 total += sizes[e]
                 e += 1
-            return e, int(total)
+            return e, total
         return end, n
 
-    def jumps(pdf: pd.DataFrame, own: int):
-        end, n = ends(pdf)
+    def jumps(cols: dict[str, list], own: int):
+        end, n = ends(cols)
 
         def nxt(s: int) -> int:
             e, _ = end(s)
             return n + own if e >= n else max(s + 1, e - overlap)
         return nxt
 
-    def emit(pdf: pd.DataFrame, own: int, entry: int, count: int) -> pd.DataFrame:
-        end, n = ends(pdf)
-        doc, first, out, s = pdf["document_id"].iloc[0], int(pdf["pos"].iloc[0]), [], entry
+    def emit(cols: dict[str, list], own: int, entry: int, count: int):
+        end, n = ends(cols)
+        doc, first, s = cols["document_id"][0], cols["pos"][0], entry
         while s < own:
             e, total = end(s)
             count += 1
-            out.append((doc, count, first + s, first + e - 1, total))
+            yield doc, count, first + s, first + e - 1, total
             if e >= n:
                 break
             s = max(s + 1, e - overlap)
-        return pd.DataFrame(out, columns=schema.names)
 
-    return blocked_scan(rows, ["document_id"], jump_summary(jumps, max_rows + 1), emit, schema, start=0, block=max(block, 1), halo=max_rows)
+    return blocked_scan(rows, ["document_id"], order, jump_summary(jumps, max_rows + 1), emit, schema, start=0, block=block, halo=max_rows)
 
 
 def static_batches(chunks: DataFrame, size: int = 12, context: int = 6, fallback: int = 2) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import namedtuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
@@ -116,9 +117,13 @@ def section_roles(paragraphs: DataFrame, block: int = 4096) -> DataFrame:
                 role = 4 if (r.procedure or r.assay) else 4 + phase
         return (ctx * 2 + active) * 2 + phase, role, opened, active
 
-    def summarise(pdf: pd.DataFrame, own: int):
+    def each(cols: dict[str, list]):
+        own = {n: v for n, v in cols.items() if not n.startswith("_")}
+        return map(namedtuple("Paragraph", own), *own.values())
+
+    def summarise(cols: dict[str, list], own: int):
         states = {s: (s, 0) for s in range(16)}
-        for r in pdf.itertuples(index=False):
+        for r in each(cols):
             seen = {}
             for s in set(v[0] for v in states.values()):
                 new, _, opened, _ = step(s, r)
@@ -127,15 +132,13 @@ def section_roles(paragraphs: DataFrame, block: int = 4096) -> DataFrame:
         for s0, (s, n) in states.items():
             yield s0, s, n
 
-    def emit(pdf: pd.DataFrame, own: int, state: int, count: int) -> pd.DataFrame:
-        out = []
-        for r in pdf.itertuples(index=False):
+    def emit(cols: dict[str, list], own: int, state: int, count: int):
+        for r in each(cols):
             state, role, opened, active = step(state, r)
             count += opened
-            out.append((r.document_id, r.pos, ROLES[role], count if active and role >= 4 else 0))
-        return pd.DataFrame(out, columns=ROLE_SCHEMA.names)
+            yield r.document_id, r.pos, ROLES[role], count if active and role >= 4 else 0
 
-    roles = blocked_scan(feed, ["document_id"], summarise, emit, ROLE_SCHEMA, start=0, block=block)
+    roles = blocked_scan(feed, ["document_id"], ["pos"], summarise, emit, ROLE_SCHEMA, start=0, block=block)
     full = rows.select("document_id", "pos", "page_number", "paragraph", "text").join(roles, ["document_id", "pos"])
     facts = full.where("assay_id > 0").groupBy("document_id", "assay_id").agg(
         F.max(pg.has("text", pg.ORGANISM)).alias("_t"), F.max(pg.has("text", pg.ACTIVITY)).alias("_a")).where("_t AND _a").select(
