@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from litquarry.llm import language_id, line_cleaning, maxscore, mixing, packing, quality, records, simhash, toxicity, url_filter
+from litquarry.llm import (conversation_repair, decontamination, language_id, line_cleaning, maxscore, mixing, packing, quality, records, simhash, toxicity,
+                           url_filter, whitening)
 from litquarry.llm.common import register
 from litquarry.sources.tables import table
 
@@ -172,3 +173,36 @@ FROM s QUALIFY rank <= 20
 @register("op6_maxscore_top_k", SQL_TOP_K)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+@register("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whole_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return whitening.whiten(rows, whitening.fit(rows))
+
+
+SQL_DECONTAMINATION = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{decontamination.UPPER}', '{decontamination.LOWER}'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), '{decontamination.UPPER}', '{decontamination.LOWER}'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item_id, w[i:i + {decontamination.WINDOW - 1}] AS x
+        FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - {decontamination.WINDOW - 1}, 1))) AS i FROM b WHERE len(w) > 0)),
+places AS (SELECT rid, n, w, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT len(x) AS n FROM win)),
+hits AS (SELECT rid, i, n, item_id FROM (SELECT rid, n, i, w[i:i + n - 1] AS x FROM places) JOIN win USING (x)),
+per_word AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(generate_series(i, i + n - 1)) AS p FROM (SELECT DISTINCT rid, i, n FROM hits)) GROUP BY rid),
+per_item AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT rid, item_id FROM hits) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN per_word USING (rid) LEFT JOIN per_item USING (rid)
+"""
+
+
+@register("op12_benchmark_decontamination", SQL_DECONTAMINATION)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@register("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
