@@ -1,7 +1,8 @@
 """Token ids of whole texts by a public tokenizer, with the ids of words already seen taken from a bounded table.
 
-A space between two characters that are not white space always begins a new pre-token of both tokenizers, so a text
-may be cut there and the parts' ids joined. Parts repeat; only words not met before reach the tokenizer's model.
+Plain text, whose letters, digits and spaces are the same in every Unicode version, is cut to the tokenizer's pre-tokens
+by one pattern. Other text is cut at spaces between two characters that are not white space, where a new pre-token of
+both tokenizers always begins, and the parts are joined. Only words not met before reach the tokenizer's model.
 """
 
 from __future__ import annotations
@@ -9,22 +10,27 @@ from __future__ import annotations
 import os
 import re
 import sys
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import cache
 
-import regex
-
-GENERATION = 220_000  # entries of a table's younger half, about 40 MB
+GENERATION = 400_000  # entries of the younger half of the table, about 75 MB
 SLICE = 1 << 18  # characters looked at at once
 SPLIT = re.compile(r"(?<=\S) (?=\S)")
-SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
-UNEVEN = [s + " " for s in SPACES] + [" " + s for s in SPACES]  # where a single space may not begin a pre-token
 PLAIN = re.compile("[\x00-ɏ]*")  # code points whose letter class and lower case no Unicode version changed
 SPECIAL = "<|"  # how special tokens begin
-BYTE_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-LOWER_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # punctuation that is one pre-token behind a word
+
+
+def _class(kind: str) -> str:
+    """Plain characters of a Unicode category, and what their lower case may be, for use in a pattern's brackets."""
+    chars = {x for c in range(0x250) for x in chr(c) + chr(c).lower()}
+    return "".join(re.escape(c) for c in sorted(chars) if unicodedata.category(c)[0] == kind)
+
+
+LETTERS, NUMBERS, SPACES = _class("L"), _class("N"), "\t-\r \x85\xa0"
+BYTE_WORDS = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+LOWER_WORDS = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -34,11 +40,29 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Words(dict):
+    """Ids of words, as bytes. Words that are used move from the older half to this one; the older half goes when this is full."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        known = self.old.get(word)
+        if known is None:
+            known = self.encode(word)
+        if len(self) > GENERATION:
+            self.old = self.copy()
+            self.clear()
+        self[word] = known
+        return known
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes. ``lowered``: the tokenizer lower-cases and drops white space.
 
-    Each table has a younger and an older half; what is used moves to the younger, and the older half goes when the
-    younger is full. So memory is bounded, and frequent parts stay.
+    The tables are bounded, and frequent words stay in them.
     """
 
     def __init__(self, path: str):
@@ -48,10 +72,7 @@ class Encoder:
         self.lowered = self.tokenizer.normalizer is not None
         self.find = LOWER_WORDS.findall if self.lowered else BYTE_WORDS.findall
         self.letters = byte_letters()
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.old_parts: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
+        self.words = Words(self._word)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text; null is empty. Long texts go through in slices cut between words."""
@@ -62,47 +83,23 @@ class Encoder:
         return b"".join(map(self._slice, slices(text)))
 
     def _slice(self, text: str) -> bytes:
-        even = text[0] != " " and text[-1] != " " and not any(p in text for p in UNEVEN)
-        if self.lowered:
-            units = text.split(" ") if even else SPLIT.split(text)
-        elif even and "\0" not in text:  # every part but the first begins with its space
-            units = text.replace(" ", "\0 ").split("\0")
-        else:
-            first, *rest = SPLIT.split(text)
-            units = [first, *[" " + u for u in rest]]
-        parts = self.parts
-        if len(parts) > GENERATION:
-            self.old_parts, self.parts = parts, {}
-            parts = self.parts
-        old, part = self.old_parts, self._part
-        for u in set(units).difference(parts):
-            parts[u] = old[u] if u in old else part(u)
-        return b"".join(map(parts.__getitem__, units))
+        if SPECIAL not in text and (text.isascii() or PLAIN.fullmatch(text)):
+            return self._plain(text)
+        first, *rest = SPLIT.split(text)
+        return b"".join(map(self._part, [first, *rest] if self.lowered else [first, *[" " + u for u in rest]]))
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.find(text.lower() if self.lowered else text)))
 
     def _part(self, unit: str) -> bytes:
         if SPECIAL in unit or not (unit.isascii() or PLAIN.fullmatch(unit)):
             return as_bytes(self.tokenizer.encode(unit, add_special_tokens=False).ids)
-        if self.lowered:
-            unit = unit.lower().strip(" ")
-        core = unit.rstrip(MARKS)
-        if core and (core[1:] if core[0] == " " else core).isalpha():
-            return self._word(core) + self._word(unit[len(core):]) if len(core) < len(unit) else self._word(core)
-        return b"".join(map(self._word, self.find(unit)))
+        return self._plain(unit)
 
     def _word(self, word: str) -> bytes:
-        words = self.words
-        if word in words:
-            return words[word]
-        if word in self.old_words:
-            known = self.old_words[word]
-        else:
-            plain = word.isascii() and word.isprintable()
-            spelled = word.replace(" ", self.letters[32]) if plain else word.encode().decode("latin1").translate(self.letters)
-            known = as_bytes([t.id for t in self.tokenizer.model.tokenize(spelled)])
-        if len(words) > GENERATION:
-            self.old_words, self.words = words, {}
-        self.words[word] = known
-        return known
+        plain = word.isascii() and word.isprintable()
+        spelled = word.replace(" ", self.letters[32]) if plain else word.encode().decode("latin1").translate(self.letters)
+        return as_bytes([t.id for t in self.tokenizer.model.tokenize(spelled)])
 
 
 def as_bytes(ids: list[int]) -> bytes:
