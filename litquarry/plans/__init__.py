@@ -4,7 +4,7 @@ from importlib import import_module
 
 MODULES = ["retrieval_queries", "function_queries", "corpus_queries", "evidence_queries", "window_queries",
            "report_queries", "entity_queries", "cluster_queries",
-           "document_queries"]
+           "document_queries", "ingest_queries"]
 
 
 def load_all() -> None:

@@ -7,88 +7,100 @@ from pyspark.sql.streaming import StreamingQuery
 
 from litquarry.functions.core import nz
 from litquarry.operators import retrieval as rt
-from litquarry.scale import cut
+from litquarry.scale import cut, join_known, small_side
+from litquarry.streaming.segments import Segments
 
 DOCUMENTS = "document_id long, doi string, text string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
-def _snapshot(spark: SparkSession, root: str, ddl: str, before: int) -> DataFrame:
-    """All rows that batches earlier than ``before`` have written."""
-    if not _exists(spark, root):
-        return spark.createDataFrame([], ddl)
-    df = spark.read.schema(ddl + ", batch_id long").option("basePath", root).parquet(root)
-    return df.where(F.col("batch_id") < before).drop("batch_id")
-
-
 def _write_batch(df: DataFrame, root: str, batch_id: int) -> None:
     # a folder per batch, replaced as a whole, so that a replayed batch leaves the same files
     df.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
 
 
-CANON = "document_id long, doi string, sha string"
+KEYS = "key string, document_id long"
 OUTCOME = "document_id long, status string, duplicate_of long"
 
 
+def accepted_keys(spark: SparkSession, target: str) -> Segments:
+    """Keys of accepted documents and who holds them, each stored sorted so that a lookup skips what it cannot hold."""
+    return Segments(spark, f"{target}/keys", KEYS, lambda rows: rows.repartitionByRange("key").sortWithinPartitions("key"))
+
+
 def ingest_folder(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str = DOCUMENTS, fmt: str = "json") -> StreamingQuery:
     """Read new files, accept documents whose DOI and content are new, record an outcome per document.
 
-    The state is the table of accepted keys, joined per batch, so it may grow without a bound on memory.
+    The state is the table of accepted keys in few merged segments; a batch looks its own keys up there and no more, so
+    neither memory nor the number of files read grows with the batches. A missing DOI is no key.
     Inside a batch the arrival order is the document id, then the place read, and only accepted rows register their
-    keys. So of rows that repeat an id and a text one is accepted and each other counts as its duplicate.
+    keys. So of rows that repeat an id and a text one is accepted and each other counts as its duplicate. A restart goes on
+    from the checkpoint, and a replayed batch replaces its own files.
     """
     from litquarry.operators.corpus import greedy_canonical
 
     def run(batch: DataFrame, batch_id: int) -> None:
         # the places are pinned, as every later step must see the same ones
-        rows = cut(batch.select(F.struct("document_id", F.monotonically_increasing_id().alias("place")).alias("_o"), nz("doi").alias("doi"),
-                                F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), nz("text").isNull().alias("failed")))
-        seen = _snapshot(spark, f"{target}/canonical", CANON, batch_id)
-        by_doi = seen.where("doi IS NOT NULL").select("doi", F.col("document_id").alias("_a"))
-        by_sha = seen.select("sha", F.col("document_id").alias("_b"))
-        j = rows.join(by_doi, "doi", "left").join(by_sha, "sha", "left").withColumn("_old", F.coalesce("_a", "_b"))
-        fresh = j.where("NOT failed AND _old IS NULL").select("_o", "doi", "sha")
-        canon = greedy_canonical(fresh, "_o", ["doi", "sha"])
-        first_doi = canon.where("doi IS NOT NULL").select("doi", F.col("_o").alias("_c"))
-        first_sha = canon.select("sha", F.col("_o").alias("_d"))
-        out = j.join(first_doi, "doi", "left").join(first_sha, "sha", "left")
+        rows = cut(batch.select(F.struct("document_id", F.monotonically_increasing_id().alias("place")).alias("_o"), F.concat(F.lit("doi:"), nz("doi")).alias("doi"),
+                                F.concat(F.lit("sha256:"), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("sha"), nz("text").isNull().alias("failed")))
+        asked = rows.where("NOT failed").select(F.explode(F.array_compact(F.array("doi", "sha"))).alias("key")).distinct()
+        state = accepted_keys(spark, target)
+        old = cut(state.read(batch_id).join(small_side(asked), "key", "left_semi"))
+        held = lambda df, key, name: join_known(df, old.select(F.col("key").alias(key), F.col("document_id").alias(name)), key, "left")
+        j = cut(held(held(rows, "doi", "_a"), "sha", "_b"))
+        fresh = j.where("NOT failed AND _a IS NULL AND _b IS NULL").select("_o", "doi", "sha")
+        canon = cut(greedy_canonical(fresh, "_o", ["doi", "sha"]))
+        out = join_known(j, canon.where("doi IS NOT NULL").select("doi", F.col("_o").alias("_c")), "doi", "left")
+        out = join_known(out, canon.select("sha", F.col("_o").alias("_d")), "sha", "left")
         earlier = lambda o: F.when(F.col(o) < F.col("_o"), F.col(f"{o}.document_id"))
-        dup = F.coalesce("_old", earlier("_c"), earlier("_d"))
+        mine = (F.col("_c") == F.col("_o")) | (F.col("_d") == F.col("_o"))
+        dup = F.when(~F.coalesce(mine, F.lit(False)), F.coalesce("_a", earlier("_c"), "_b", earlier("_d")))
         outcome = out.select("_o.document_id", F.when(F.col("failed"), "FAILED").when(dup.isNotNull(), "DUPLICATE_SKIPPED").otherwise("COMPLETED").alias("status"),
                              F.when(~F.col("failed"), dup).alias("duplicate_of"))
-        canon = canon.select("_o.document_id", "doi", "sha")
-        _write_batch(canon, f"{target}/canonical", batch_id)
         _write_batch(outcome, f"{target}/outcomes", batch_id)
+        state.append(canon.select(F.explode(F.array_compact(F.array("doi", "sha"))).alias("key"), F.col("_o.document_id").alias("document_id")), batch_id)
 
     stream = spark.readStream.schema(schema).format(fmt).load(source)
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def outcome_counters(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.schema(OUTCOME + ", batch_id long").parquet(f"{target}/outcomes").groupBy("status").agg(F.count("*").alias("n"))
+    return spark.read.schema(OUTCOME).parquet(f"{target}/outcomes").groupBy("status").agg(F.count("*").alias("n"))
 
 
 POSTING = "doc_id long, field string, dl long, term string, tf long, version long"
+TOUCHED = "doc_id long, version long"
+
+
+def posting_segments(spark: SparkSession, target: str) -> tuple[Segments, Segments]:
+    """Postings and tombstones: the last version of every touched document. Merging drops what the merged segments replace."""
+    def newest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("doc_id").agg(F.max("version").alias("version"))
+
+    touched = Segments(spark, f"{target}/touched", TOUCHED, newest)
+
+    def without_replaced(postings: DataFrame) -> DataFrame:
+        return postings.join(newest(touched.read()), ["doc_id", "version"], "left_semi")
+
+    return Segments(spark, f"{target}/postings", POSTING, without_replaced), touched
 
 
 def index_stream(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str = "document_id long, text string, deleted boolean, sequence long", fmt: str = "json") -> StreamingQuery:
-    """Append the postings of changed documents and a marker per touched document, one folder per batch.
+    """Add the postings of changed documents and a tombstone per touched document as segments, merged tier by tier.
 
     A document's postings are those of its last row: the largest ``sequence`` of the last batch that has it, without
-    one the latest file and the last place in it. A deletion leaves only its marker. Nothing already written is rewritten, and replaying a batch replaces its own folders.
+    one the latest file and the last place in it. A deletion leaves only its tombstone. A batch writes its own
+    segments and merges full tiers; a replayed batch replaces its own files.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("_place", F.monotonically_increasing_id())
         order = F.struct(F.coalesce("sequence", F.lit(-1)), "_time", "_path", "_start", "_place")
-        last = rows.groupBy("document_id").agg(F.max_by(F.struct("text", "deleted"), order).alias("r")).select("document_id", "r.*")
+        last = cut(rows.groupBy("document_id").agg(F.max_by(F.struct("text", "deleted"), order).alias("r")).select("document_id", "r.*"))
         live = last.where(~F.coalesce("deleted", F.lit(False)))
         index = rt.build_index(live, "document_id", {"text": F.col("text")})
-        _write_batch(index.postings.withColumn("version", F.lit(batch_id).cast("long")), f"{target}/postings", batch_id)
-        _write_batch(last.select(F.col("document_id").alias("doc_id"), F.lit(batch_id).cast("long").alias("version")), f"{target}/touched", batch_id)
+        version = F.lit(batch_id).cast("long").alias("version")
+        postings, touched = posting_segments(spark, target)
+        touched.append(last.select(F.col("document_id").alias("doc_id"), version), batch_id)
+        postings.append(index.postings.select("doc_id", "field", "dl", "term", "tf", version), batch_id)
 
     stream = spark.readStream.schema(schema).format(fmt).load(source)
     if "sequence" not in stream.columns:
@@ -98,10 +110,10 @@ def index_stream(spark: SparkSession, source: str, target: str, checkpoint: str,
 
 
 def current_index(spark: SparkSession, target: str) -> rt.InvertedIndex:
-    """Postings of each document's last version."""
-    p = spark.read.schema(POSTING + ", batch_id long").parquet(f"{target}/postings").drop("batch_id")
-    t = spark.read.schema("doc_id long, version long, batch_id long").parquet(f"{target}/touched").groupBy("doc_id").agg(F.max("version").alias("version"))
-    return rt.InvertedIndex(p.join(t, ["doc_id", "version"], "left_semi").drop("version"))
+    """Postings of each document's last version: the segments less what their tombstones replace."""
+    postings, touched = posting_segments(spark, target)
+    last = touched.read().groupBy("doc_id").agg(F.max("version").alias("version"))
+    return rt.InvertedIndex(postings.read().join(last, ["doc_id", "version"], "left_semi").drop("version"))
 
 
 def usage_stream(events: DataFrame, watermark: str = "10 minutes", window: str = "1 hour") -> DataFrame:
