@@ -71,7 +71,7 @@ def _by_rarity(index: DataFrame, windows: DataFrame, terms: DataFrame) -> DataFr
     """
     frequency = index.where(F.col("term") > 0).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     places = windows.select("wid", F.size("words").alias("length"), F.posexplode("words").alias("offset", "word"))
-    known = places.join(terms, "word").join(frequency, "term")
+    known = places.join(small_side(cut(terms.join(frequency, "term"))), "word")
     listed = known.groupBy("wid", "length").agg(F.array_sort(F.collect_list(F.struct("n", "term", "offset"))).alias("places"))
     return listed.where(F.size("places") == F.col("length"))
 
