@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,9 +13,9 @@ from litquarry.llm.common import bounded_batches, hashed_share, held_out
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
+REACH = max(ORDERS) - 1  # characters in front of the last one of an n-gram
 PER_LANGUAGE = 1500  # documents of each language to fit on, about
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _BLOCK = 1 << 19  # characters worked on at once
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint32(0x27D4EB2F))
 
@@ -28,26 +27,35 @@ class LanguageModel:
 
 
 def _blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(text numbers, code points, starts) of bounded size; a longer text comes in several blocks, cut between n-grams' starts."""
+    """(text numbers, code points, bounds) of bounded size; a longer text comes in several blocks.
+
+    In front of every piece stand the REACH characters before it, line feeds at a text's start; bounds are the
+    places where a piece itself begins and ends, in turn. So an n-gram is counted once, at its last
+    character, and never holds a character of another text.
+    """
     numbers, parts, size = [], [], 0
-    reach = max(ORDERS) - 1
     for i, text in enumerate(texts):
         for at in range(0, max(1, len(text)), _BLOCK):
-            part = text[max(0, at - reach):at + _BLOCK]
+            part = (text[at - REACH:at] if at else "\n" * REACH) + text[at:at + _BLOCK]
             if parts and size + len(part) > _BLOCK:
                 yield _points(numbers, parts)
                 numbers, parts, size = [], [], 0
             numbers.append(i)
             parts.append(part)
-            size += len(part) + 1
+            size += len(part)
     if parts:
         yield _points(numbers, parts)
 
 
 def _points(numbers: list[int], parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lengths = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
-    buffer = np.frombuffer("\n".join([*parts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.array(numbers), buffer, np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+    buffer = np.frombuffer("".join([*parts, "\n"]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.array(numbers), buffer, np.stack([np.append(0, ends[:-1]) + REACH, ends], axis=1).reshape(-1)
+
+
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of the values of each piece; a piece may be empty."""
+    return np.where(bounds[::2] < bounds[1::2], np.add.reduceat(values, bounds, dtype=np.float64)[::2], 0.0)
 
 
 def ngram_buckets(points: np.ndarray) -> Iterator[np.ndarray]:
@@ -88,9 +96,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, smoothing: float = 0.
         for pdf in batches:
             for lang, text in zip(pdf["_lang"], pdf["text"]):
                 own = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for _, points, _ in _blocks([normal(text)]):
+                for _, points, (first, end) in _blocks([normal(text)]):
                     for buckets in ngram_buckets(points):
-                        own += np.bincount(buckets, minlength=BUCKETS)
+                        own += np.bincount(buckets[first:end], minlength=BUCKETS)
         for lang, own in totals.items():
             yield pd.DataFrame({"_lang": [lang], "n": [own]})
 
@@ -109,17 +117,17 @@ def predict(texts: list[str | None], model: LanguageModel) -> tuple[list[str], n
     lowered = [normal(t) for t in texts]
     total = np.zeros((len(lowered), len(model.languages)))
     columns = [np.ascontiguousarray(model.log_prob[:, j]) for j in range(total.shape[1])]
-    for numbers, points, starts in _blocks(lowered):
+    for numbers, points, bounds in _blocks(lowered):
         for buckets in ngram_buckets(points):
             for j in range(total.shape[1]):
-                np.add.at(total[:, j], numbers, np.add.reduceat(np.take(columns[j], buckets), starts, dtype=np.float64))
+                np.add.at(total[:, j], numbers, _sums(np.take(columns[j], buckets), bounds))
     if not model.languages:
         return [UNKNOWN] * len(lowered), np.zeros(len(lowered))
     total -= total.max(axis=1, keepdims=True)
     chance = np.exp(total)
     chance /= chance.sum(axis=1, keepdims=True)
     best = chance.argmax(axis=1)
-    has_letter = np.array([bool(_LETTER.search(t)) for t in lowered], bool)
+    has_letter = np.array([any(map(str.isalpha, t)) for t in lowered], bool)
     return ([model.languages[b] if ok else UNKNOWN for b, ok in zip(best, has_letter)],
             np.where(has_letter, chance[np.arange(len(best)), best], 0.0))
 
