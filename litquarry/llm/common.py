@@ -54,7 +54,10 @@ def clean_labels(labels: DataFrame, column: str) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: dict[int, int]) -> DataFrame:
-    """Rows of ``docs`` with ``label``: about ``per_class[label]`` labelled documents of each class, chosen by a hash of the id."""
+    """Rows of ``docs`` with ``label``: about ``per_class[label]`` labelled documents of each class, chosen by a hash of the id.
+
+    Of rows that share an id one is taken, so the sample is bounded however often an id comes.
+    """
     lab = clean_labels(labels, column)
     counts = {r["label"]: r["count"] for r in lab.groupBy("label").count().where(F.col("label").isin(*per_class)).collect()}
     keep = F.lit(False)
@@ -62,4 +65,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
         keep = keep | ((F.col("label") == value) & hashed_share(F.col("doc_id"), min(1.0, most / max(1, counts.get(value, 0)))))
     chosen = lab.where(keep)
     small = sum(min(per_class.get(k, 0), n) for k, n in counts.items()) <= 100_000
-    return docs.join(F.broadcast(chosen) if small else chosen, "doc_id")
+    found = docs.join(F.broadcast(chosen) if small else chosen, "doc_id")
+    others = [F.col(f"`{n}`") for n in docs.columns if n != "doc_id"]
+    one = found.groupBy("doc_id", "label").agg(F.min_by(F.struct(*others), F.xxhash64(*others)).alias("_one"))
+    return one.select("doc_id", "_one.*", "label")

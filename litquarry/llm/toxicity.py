@@ -30,11 +30,16 @@ CATEGORIES: dict[str, Sequence[str]] = {
 
 @dataclass
 class Link:
-    """One linear model of the chain: weights of the buckets the sample had, of the earlier probabilities, and a bias."""
+    """One linear model of the chain: weights of the buckets the sample had, of the earlier probabilities, and a bias.
+
+    ``shift`` takes a probability from the sample's share of toxic documents to that of all labels. Later links learned
+    from unshifted probabilities and read those; only what is returned is shifted.
+    """
     buckets: np.ndarray
     weights: np.ndarray
     earlier: np.ndarray
     bias: float
+    shift: float = 0.0
 
 
 def _train(row: np.ndarray, column: np.ndarray, earlier: np.ndarray, y: np.ndarray, size: int, rounds: int = 120) -> tuple[np.ndarray, np.ndarray, float]:
@@ -62,8 +67,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Sequence[st
     """The chain, fitted on a bounded sample outside the held-out share; its distinct words fit the driver.
 
     Earlier probabilities that a later model learns from are out of fold: documents are dealt to FOLDS parts by a
-    hash of the id, and each part is predicted by a model of the others. Biases are shifted from the sample's share
-    of toxic documents to that of all labels. Without labelled documents no category is ever predicted.
+    hash of the id, and each part is predicted by a model of the others. Without labelled documents no category is ever predicted.
     """
     bounded_batches(docs.sparkSession)
     sample = labelled_sample(docs.select("doc_id", "text"), labels, "toxic", dict(per_class))
@@ -98,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Sequence[st
             out[held] = sigmoid(b + np.bincount(row, weights=w[column], minlength=len(rows))[held] + earlier[held] @ v)
         w, v, b = _train(row, column, earlier, y, len(buckets))
         kept = np.abs(w) > 1e-4
-        chain[name] = Link(buckets[kept], w[kept].astype(np.float32), v, b + shift)
+        chain[name] = Link(buckets[kept], w[kept].astype(np.float32), v, b, shift)
         earlier = np.column_stack([earlier, out])
     return chain
 
@@ -106,13 +110,14 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Sequence[st
 def predict(texts: pd.Series, chain: Mapping[str, Link]) -> pd.DataFrame:
     """One probability per category, each computed with those before it."""
     doc, bucket, _ = word_counts(texts, BUCKETS)
-    earlier = np.zeros((len(texts), 0))
-    for link in chain.values():
+    earlier, shown = np.zeros((len(texts), 0)), {}
+    for name, link in chain.items():
         table = np.zeros(BUCKETS, np.float32)
         table[link.buckets] = link.weights
         z = link.bias + np.bincount(doc, weights=table[bucket], minlength=len(texts)) + earlier @ link.earlier
         earlier = np.column_stack([earlier, sigmoid(z)])
-    return pd.DataFrame(earlier, columns=list(chain))
+        shown[name] = sigmoid(z + link.shift)
+    return pd.DataFrame(shown)
 
 
 def score(docs: DataFrame, chain: Mapping[str, Link], threshold: float = THRESHOLD) -> DataFrame:
