@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import uuid
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from litquarry.functions.cells import quote_in, sentences
 from litquarry.functions.core import nz, round_half_up, squash_space, tokens
 from litquarry.functions.identifiers import key_normalise
-from litquarry.scale import small_side
+from litquarry.scale import cut, small_side
 
 MIN_ALIAS = 2
+SHARD_BYTES = 4 << 20  # of aliases in one automaton, which takes some twenty times as much
 UNKNOWN_CONFIDENCE = 0.5
 MIN_CONFIDENCE = 0.6
 
@@ -30,36 +37,78 @@ def link_entities(rows: DataFrame, library: DataFrame, row_id: str, fields: dict
     return names, unknown
 
 
-def find_terms(texts: DataFrame, key: list[str], text: str, vocab: DataFrame) -> DataFrame:
+_automata: dict[str, object] = {}
+
+
+def _automaton(name: str, aliases: list[str]):
+    """Automaton over the aliases of one broadcast, built once in a worker."""
+    if name not in _automata:
+        import ahocorasick
+        found = ahocorasick.Automaton()
+        for i, alias in enumerate(aliases):
+            found.add_word(alias, i)
+        found.make_automaton()
+        _automata.clear()
+        _automata[name] = found
+    return _automata[name]
+
+
+def _scan(texts: DataFrame, key: list[str], aliases: DataFrame, shard_bytes: int) -> DataFrame:
+    """Distinct (key, alias) of the aliases that occur in ``texts(key, _t)``: every text is read once per dictionary shard.
+
+    The dictionary is cut by a hash to shards of about ``shard_bytes``, of which one at a time is brought to the driver and
+    broadcast; a common dictionary is one shard.
+    """
+    spark = texts.sparkSession
+    distinct = cut(aliases.select("alias").distinct())
+    shards = max(1, -(-(distinct.agg(F.sum(F.octet_length("alias") + 8)).first()[0] or 0) // shard_bytes))
+    schema = T.StructType([texts.schema[k] for k in key] + [T.StructField("alias", T.StringType())])
+    out_schema = to_arrow_schema(schema)
+
+    def scan(shared):
+        name = uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            named = shared.value
+            automaton = _automaton(name, named)
+            for batch in batches:
+                rows, found = [], []
+                for i, text in enumerate(batch.column(len(key)).to_pylist()):
+                    own = {at for _, at in automaton.iter(text)}
+                    rows += [i] * len(own)
+                    found += [named[at] for at in own]
+                at = pa.array(rows, pa.int64())
+                columns = [batch.column(k).take(at) for k in range(len(key))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string())], schema=out_schema)
+        return run
+
+    parts = []
+    for shard in range(shards):
+        own = distinct.where(F.pmod(F.xxhash64("alias"), F.lit(shards)) == shard).collect()
+        if own:
+            shared = spark.sparkContext.broadcast([r["alias"] for r in own])
+            parts.append(texts.select(*key, "_t").mapInArrow(scan(shared), schema))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+
+def find_terms(texts: DataFrame, key: list[str], text: str, vocab: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Distinct canonical terms whose alias occurs in the text, as ``key, canonical, category, alias``.
 
-    An alias of three characters or more starts with one of the text's character triples, shorter ones
-    with a pair, so the substring test runs only on rows that meet in an equi join on those.
-    ``vocab(alias, canonical, category)`` with lower-case aliases.
+    One automaton of all aliases reads each lower-cased text once. ``vocab(alias, canonical, category)`` with lower-case
+    aliases; those below MIN_ALIAS characters take no part, an alias of several terms names all of them.
     """
     low = texts.select(*key, F.lower(F.coalesce(text, F.lit(""))).alias("_t"))
-    grams = lambda n: F.array_distinct(F.regexp_extract_all(F.col("_t"), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-    v = vocab.where(F.length("alias") >= MIN_ALIAS).select(
-        "alias", "canonical", "category", F.substring("alias", 1, 3).alias("_g"))
-    heads = small_side(v.select("_g").distinct())
-    doc_grams = low.select(*key, F.explode(F.array_union(grams(3), grams(2))).alias("_g")).join(heads, "_g", "left_semi")
-    cand = doc_grams.join(small_side(v), "_g").select(*key, "alias", "canonical", "category")
-    return cand.join(low, key).where(F.contains("_t", F.col("alias"))).select(*key, "canonical", "category", "alias").distinct()
-
-
-def find_words(texts: DataFrame, key: list[str], text: str, vocab: DataFrame, longest: int) -> DataFrame:
-    """Aliases that occur as whole words: token n-grams up to ``longest`` words meet the alias by equality."""
-    t = texts.select(*key, tokens(text).alias("_w"))
+    known = vocab.where(F.length("alias") >= MIN_ALIAS)
+    found = _scan(low, key, known, shard_bytes)
+    return found.join(small_side(known.select("alias", "canonical", "category").distinct()), "alias").select(*key, "canonical", "category", "alias").distinct()
 
-    def grams(n: int) -> Column:
-        starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice("_w", i, n), " "))
 
-    out = None
-    for n in range(1, longest + 1):
-        part = t.select(*key, F.explode(F.array_distinct(grams(n) if n > 1 else F.col("_w"))).alias("alias"))
-        out = part if out is None else out.unionByName(part)
-    return out.join(small_side(vocab), "alias").select(*key, "canonical", "category", "alias").distinct()
+def find_words(texts: DataFrame, key: list[str], text: str, vocab: DataFrame, longest: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Aliases of at most ``longest`` words that occur as whole words: the automaton reads the text's tokens between single spaces."""
+    spaced = texts.select(*key, F.concat(F.lit(" "), F.array_join(F.coalesce(tokens(text), F.array().cast("array<string>")), " "), F.lit(" ")).alias("_t"))
+    known = vocab.where(F.size(F.split("alias", " ")) <= longest).select("alias", "canonical", "category").distinct()
+    found = _scan(spaced, key, known.select(F.concat(F.lit(" "), "alias", F.lit(" ")).alias("alias")), shard_bytes)
+    return found.withColumn("alias", F.expr("substring(alias, 2, length(alias) - 2)")).join(small_side(known), "alias").select(*key, "canonical", "category", "alias").distinct()
 
 
 def confident(mentions: DataFrame, minimum: float = MIN_CONFIDENCE) -> DataFrame:
