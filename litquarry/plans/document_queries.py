@@ -8,7 +8,7 @@ from litquarry.operators import documents as do
 from litquarry.plans.registry import query
 from litquarry.plans.report_queries import step_events
 from litquarry.plans.views import chunks, docs, labelled, r_sql, ratio_sql, sql
-from litquarry.sources import scans as sc
+from litquarry.sources import markup_tables as mt, scans as sc
 from litquarry.sources.tables import table
 from litquarry.streaming.ingest import usage_stream
 
@@ -132,6 +132,49 @@ def s9_cells(spark, d):
     return sc.assemble_tables(_table_cells(spark, d))[1]
 
 
+def _papers(spark, d):
+    """A paper per part: a table figure with stacked headers and footnotes, for some a figure without rows, a bare table or broken markup."""
+    p = table(spark, d, "part", "p_partkey", "p_name", "p_type", "p_brand", "p_size")
+    k, size = c("p_partkey"), c("p_size").cast("string")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    figure = text('<figure type="table"><head>Table 1</head><label> 1 </label><figDesc>Activity of ', c("p_name"), '</figDesc><table><row><cell>Compound</cell><cell cols="2">', c("p_type"),
+                  '</cell></row><row><cell/><cell>EC50</cell><cell>in ', c("p_brand"), '</cell></row><row><cell>', c("p_name"), '</cell><cell>', size,
+                  '.5 ± 0.1</cell></row><row><cell>control</cell><cell>&lt; 5</cell><cell>n.d.</cell></row></table><note><s>Mean of ', size, '.</s><s> </s><s>At  25 C.</s></note></figure>')
+    empty = F.when(k % 7 == 0, '<figure type="Table"><head>Scan</head></figure>').otherwise("")
+    bare = F.when(k % 5 == 0, text("<table><row><cell>a</cell><cell>b</cell></row><row><cell cols='x'>", c("p_brand"), "</cell></row></table>")).otherwise("")
+    end = F.when(k % 11 == 0, "</text>").otherwise("</text></TEI>")
+    return p.select(k.alias("paper"), text('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text>', bare, figure, empty, end).alias("markup"))
+
+
+def _tables(spark, d):
+    return mt.with_headers(mt.parse_tables(_papers(spark, d), "paper", "markup"))
+
+
+SQL_TABLES = """sound AS (SELECT *, p_partkey AS paper, 'T' || (CASE WHEN p_partkey % 7 = 0 THEN 3 ELSE 2 END) AS bare FROM part WHERE p_partkey % 11 <> 0)"""
+
+
+@query("s9_markup_tables", sql("""SELECT paper, 'T1' AS table_ref, '1' AS label, 'Table 1 Activity of ' || p_name AS caption, concat_ws('|', 'Compound', p_type || ' — EC50', p_type || ' — in ' || p_brand) AS headers,
+      'Mean of ' || p_size || '.|At 25 C.' AS footnotes FROM sound
+    UNION ALL SELECT paper, 'T2', NULL, 'Scan', '', '' FROM sound WHERE paper % 7 = 0 UNION ALL SELECT paper, bare, NULL, NULL, 'a|b', '' FROM sound WHERE paper % 5 = 0""", extra=SQL_TABLES))
+def s9_markup(spark, d):
+    return _tables(spark, d).where("table_ref IS NOT NULL").select(
+        "paper", "table_ref", "label", "caption", F.array_join("headers", "|").alias("headers"), F.array_join("footnotes", "|").alias("footnotes"))
+
+
+@query("s9_markup_cells", sql("""SELECT paper, 'T1' AS table_ref, row_no, col_no, CASE col_no WHEN 0 THEN 'Compound' WHEN 1 THEN p_type || ' — EC50' ELSE p_type || ' — in ' || p_brand END AS header,
+      CASE WHEN row_no = 0 THEN CASE col_no WHEN 0 THEN p_name WHEN 1 THEN p_size || '.5 ± 0.1' ELSE '' END ELSE CASE col_no WHEN 0 THEN 'control' WHEN 1 THEN '< 5' ELSE 'n.d.' END END AS text
+      FROM sound, (VALUES (0), (1)) r(row_no), (VALUES (0), (1), (2)) k(col_no)
+    UNION ALL SELECT paper, bare, 0, col_no, CASE col_no WHEN 0 THEN 'a' ELSE 'b' END, CASE col_no WHEN 0 THEN p_brand ELSE '' END FROM sound, (VALUES (0), (1)) k(col_no) WHERE paper % 5 = 0""", extra=SQL_TABLES))
+def s9_markup_cells(spark, d):
+    return mt.data_cells(_tables(spark, d), "paper")
+
+
+@query("s9_backfill_counts", """SELECT count(*) AS scanned, count(*) FILTER (p_partkey % 11 <> 0) AS done, count(*) FILTER (p_partkey % 11 = 0) AS failed,
+    CAST(sum(CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE 1 + (p_partkey % 7 = 0)::INT + (p_partkey % 5 = 0)::INT END) AS BIGINT) AS tables FROM part""")
+def s9_counts(spark, d):
+    return mt.backfill_counts(mt.parse_tables(_papers(spark, d), "paper", "markup"), "paper")
+
+
 @query("s10_export_clip", """SELECT doc_id, length(substr(text || text || text, 1, 32767)) AS chars FROM documents""")
 def s10(spark, d):
     t = table(spark, d, "documents", "doc_id", "text").withColumn("text", F.concat("text", "text", "text"))
