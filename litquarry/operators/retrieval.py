@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from litquarry.functions.core import round_half_up, tokens
-from litquarry.scale import block_count, cut, is_small, small_side, spread
+from litquarry.scale import block_count, is_small, small_side, spread
 
 K1 = 1.2
 B = 0.75
@@ -91,11 +92,21 @@ def read_index(spark: SparkSession, path: str, postings: T.StructType | None = N
 
 
 def materialised(index: InvertedIndex) -> InvertedIndex:
-    """The index kept by document on reliable storage: one pass over the texts, however often one query reads it.
+    """The index kept by document on the executors' disks: one pass over the texts, however often one query reads it.
 
-    For a search with many queries this beats shards of terms, as the contributions to a document need not be moved.
+    For a search with many queries this beats shards of terms, as the contributions to a document need not be moved: the
+    kept postings are still known to lie by document, which a checkpoint would forget. What a lost executor kept is computed
+    anew from the texts. The last KEPT indexes stay; an older one would be computed anew.
     """
-    return InvertedIndex(cut(index.postings.select(*POSTING)))
+    kept = index.postings.select(*POSTING).persist(StorageLevel.DISK_ONLY)
+    _kept.append(kept)
+    if len(_kept) > KEPT:
+        _kept.pop(0).unpersist()
+    return InvertedIndex(kept)
+
+
+KEPT = 4
+_kept: list[DataFrame] = []
 
 
 def query_terms(queries: DataFrame, query_id: list[str], text: str = "query") -> DataFrame:

@@ -282,16 +282,11 @@ def _expanded(spark, d, translated):
     return ex.vocabulary_expansion(questions(spark, d), sub_queries(spark, d), v, related, translated)
 
 
-@query("r12_vocabulary_expansion", sql("SELECT * FROM qu", "questions", "sub", extra=EXPAND))
-def r12(spark, d):
-    return _expanded(spark, d, False)
-
-
 @query("r12_expansion_with_translated", sql("""SELECT experiment_id, row_number() OVER (PARTITION BY experiment_id ORDER BY po, query) - 1 AS query_no, query FROM (SELECT experiment_id, trim(regexp_replace(query, '\\s+', ' ', 'g')) AS query, min((p, o)) AS po FROM
     (SELECT experiment_id, 0 AS p, query_no AS o, query FROM qu UNION ALL SELECT experiment_id, 1, query_no, query || ' ' || string_agg(canonical, ' ' ORDER BY canonical) FROM (SELECT DISTINCT experiment_id, query_no, query, canonical FROM qu, vocab WHERE contains(lower(query), alias)) GROUP BY experiment_id, query_no, query)
     GROUP BY ALL) QUALIFY query_no < 36""", "questions", "sub", extra=EXPAND))
 def r12_whole(spark, d):
-    """The whole expansion: r12_vocabulary_expansion and behind it the translated form of each of its queries."""
+    """The whole expansion: its parts and behind them the translated form of each of their queries."""
     return _expanded(spark, d, True)
 
 
@@ -300,12 +295,6 @@ def r12_translated(spark, d):
     return ex.translated_queries(sub_queries(spark, d), _vocab(spark, d))
 
 
-@query("u5_linked_query_union", sql("""SELECT experiment_id, row_number() OVER (PARTITION BY experiment_id ORDER BY po, query) - 1 AS query_no, query FROM (SELECT experiment_id, trim(regexp_replace(query, '\\s+', ' ', 'g')) AS query, min((p, o)) AS po FROM
-    (SELECT experiment_id, 0 AS p, 0 AS o, query FROM questions UNION ALL SELECT experiment_id, 1, query_no, query FROM sub) GROUP BY ALL) QUALIFY query_no < 5""", "questions", "sub"))
-def u5(spark, d):
-    return ex.linked_union([questions(spark, d).withColumnRenamed("query_no", "ord"), sub_queries(spark, d).withColumnRenamed("query_no", "ord")], 5)
-
-
 @query("u5_linked_query_union_36", sql("""SELECT experiment_id, row_number() OVER (PARTITION BY experiment_id ORDER BY po, query) - 1 AS query_no, query FROM (SELECT experiment_id, trim(regexp_replace(query, '\\s+', ' ', 'g')) AS query, min((p, o)) AS po FROM
     (SELECT experiment_id, 0 AS p, 0 AS o, query FROM questions UNION ALL SELECT experiment_id, 1, query_no, query FROM sub) GROUP BY ALL) QUALIFY query_no < 36""", "questions", "sub"))
 def u5_whole(spark, d):

@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 ROW_BITS = 33  # monotonically_increasing_id keeps the row offset in the low 33 bits
 BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_BYTES = 64 << 20  # of text and nested values
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -32,13 +33,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows of at most ``max_bytes`` in all; reads no more rows than that.
+
+    Only rows that hold text or nested values are weighed, others are of known size.
+    """
+    sizes = [F.lit(0)]
+    for field in df.schema:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.octet_length(F.col(f"`{field.name}`")))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            sizes.append(F.octet_length(F.to_json(F.struct(F.col(f"`{field.name}`").alias("v")))))
+    size = reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0)).cast("long") for x in sizes])
+    rows, total = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= max_rows and total <= max_bytes
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` if its row count is proven small, else leave the join to shuffle."""
+    """Broadcast ``df`` if its rows are proven few and small, else leave the join to shuffle."""
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 

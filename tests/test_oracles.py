@@ -17,7 +17,7 @@ SPREAD = [
     "d5_screening_decision", "a22_cohort_hash", "s11_upsert", "a14_classification_merge", "d7_classification_validation", "d8_row_validation", "d9_versioned_replace",
     "d10_coverage_audit", "j8_similar_rows", "d16_row_matching", "j9_routing_confusion", "w1_priority_chunks", "w9_fixed_count_windows", "w10_static_batches",
     "a3_facet_counts", "a4_compound_rollup", "a21_potency_median", "r19_fielded_score_rank", "j7_dictionary_substring", "j7_dictionary_whole_words", "d12_review_merge",
-    "d14_graph_neighbourhood", "r12_vocabulary_expansion", "r13_entity_enhanced_queries", "c1_cosine_pairs", "j13_nearest_cross_document_pairs", "t11_cluster_representatives",
+    "d14_graph_neighbourhood", "r12_expansion_with_translated", "r13_entity_enhanced_queries", "c1_cosine_pairs", "j13_nearest_cross_document_pairs", "t11_cluster_representatives",
     "a26_topic_terms", "s2_corpus_excluded", "s7_markdown_tables", "s9_table_headers", "d17_page_triage", "d23_review_merge", "a25_review_rates", "x3_usage_windows",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("LITQUARRY_ALL_ORACLES") else SPREAD

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from litquarry.operators import chunking as ck
 from litquarry.operators.scan import entry_states, runs
+from litquarry.scale import is_small
 
 
 @pytest.mark.parametrize("fan", [2, 3, 32])
@@ -53,3 +54,9 @@ def test_scan_has_no_task_for_a_whole_group(spark):
     units = spark.createDataFrame([(1, i, "body", "S", 0, i, "a b.") for i in range(40)], "document_id long, ord long, content_type string, section_path string, paragraph int, sentence int, text string")
     plan = ck.chunk(units, block=8)._jdf.queryExecution().toString()
     assert "FlatMapGroupsInPandas" not in plan
+
+
+def test_broadcasts_are_weighed(spark):
+    texts = spark.createDataFrame([(1, "x" * 900, [1, 2], None), (2, None, None, {"a": 1})], "k long, t string, `a.b` array<int>, m map<string,int>")
+    assert is_small(texts) and not is_small(texts, max_rows=1) and not is_small(texts, max_bytes=900) and is_small(texts.select("k"), max_bytes=0)
+    assert is_small(texts.limit(0), 0, 0)
