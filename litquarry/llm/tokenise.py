@@ -15,7 +15,7 @@ from array import array
 from collections.abc import Iterator
 from functools import cache
 
-GENERATION = 400_000  # entries of the younger half of the table, about 75 MB
+GENERATION = 300_000  # entries of the younger half of the table, about 55 MB
 SLICE = 1 << 18  # characters looked at at once
 SPLIT = re.compile(r"(?<=\S) (?=\S)")
 PLAIN = re.compile("[\x00-ɏ]*")  # code points whose letter class and lower case no Unicode version changed
