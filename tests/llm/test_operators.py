@@ -335,7 +335,7 @@ def test_maxscore_ties_and_odd_vectors(spark):
 def test_maxscore_equals_all_products():
     rng = np.random.default_rng(0)
     rows, ids = np.floor(64 * rng.normal(0, 0.12, (3000, 32))), np.arange(3000)
-    number, found, score = maxscore.search_shard(ids[::50], rows[::50], ids, rows, 20)
+    number, found, score = maxscore.search_shard(ids[::50], rows[::50], maxscore.postings(ids, rows), 20)
     full = rows[::50] @ rows.T
     full[np.arange(60), ids[::50]] = -np.inf
     for k in range(60):
@@ -343,6 +343,41 @@ def test_maxscore_equals_all_products():
         assert (found[number == k] == best).all() and (score[number == k] == full[k][best]).all()
 
 
+def test_maxscore_traverses_essential_lists_only():
+    """Wide and sparse dimensions, many equal rows: results equal all products, fewer postings are read than there are."""
+    rng = np.random.default_rng(3)
+    rows = np.floor(400 * rng.normal(0, 1, (4000, 24)) * 0.6 ** np.arange(24))
+    rows[:, 12:] *= rng.random((4000, 12)) < 0.1  # short lists
+    rows[3000:3500], ids = rows[2999], np.arange(4000) * 3
+    shard, traversed = maxscore.postings(ids, rows), []
+    assert shard.short and (shard.place >= 0).any()
+    number, found, score = maxscore.search_shard(ids[::40], rows[::40], shard, 20, traversed=traversed)
+    full = rows[::40] @ rows.T
+    full[np.arange(100), np.arange(0, 4000, 40)] = -np.inf
+    beat = np.zeros(100)
+    for k in range(100):
+        best = np.lexsort((ids, -full[k]))[:20]
+        assert (found[number == k] == ids[best]).all() and (score[number == k] == full[k][best]).all()
+        beat[k] = full[k][best[-1]]
+    assert sum(traversed) < 0.6 * 100 * np.count_nonzero(rows)
+    again = []
+    number, found, score = maxscore.search_shard(ids[::40], rows[::40], shard, 20, beat, again)
+    assert (np.bincount(number, minlength=100) == 20).all() and sum(again) <= sum(traversed)
+    assert len(maxscore.search_shard(ids[::40], rows[::40], shard, 20, beat + 1)[0]) < 100 * 20
+
+
+def test_maxscore_merges_shards_of_dense_and_sparse_rows(spark):
+    rng = np.random.default_rng(4)
+    m = np.floor(64 * rng.normal(0, 0.2, (600, 10))) / 64
+    m[:, 6:] *= rng.random((600, 4)) < 0.15
+    m[100:200] = m[100]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = maxscore.top_k(df, F.col("vec_id") % 20 == 0, shard_rows=90, query_rows=4).collect()
+    e = np.floor(64 * m)
+    want = {(q, r + 1, int(i), int(e[q] @ e[i])) for q in range(0, 600, 20) for r, i in enumerate([i for i in np.lexsort((np.arange(600), -(e @ e[q]))) if i != q][:20])}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_line_cleaning_removes_lines_and_keeps_text(spark):
     good = " ".join(["Plain words make a sentence here."] * 2 + ["And quite another sentence follows it now."] * 2)
     other = "Each of these lines carries its own words and ends well. None is said again in this text, not even once more."
