@@ -384,6 +384,16 @@ def u2(spark, d):
     return ir.missed_documents(hits, _pool(spark, d, hits))
 
 
+@query("u2_missed_key_chunks", sql("""SELECT r.experiment_id, r.route, CAST(r.cut AS INT) AS cut, k.chunk_id FROM
+    (SELECT DISTINCT experiment_id, route, cut FROM hits, (SELECT unnest([5,10,20,50,100,0]) AS cut)) r
+    JOIN keyc k ON k.experiment_id = r.experiment_id WHERE NOT EXISTS (SELECT 1 FROM hits h
+    WHERE h.experiment_id=r.experiment_id AND h.route=r.route AND h.chunk_id=k.chunk_id AND (r.cut=0 OR h.rank<=r.cut))""",
+    *HV, extra=HITS + ",\n" + POOL))
+def u2_chunks(spark, d):
+    hits = _routes(spark, d)
+    return ir.missed_key_chunks(hits, _key_chunks(spark, d, _pool(spark, d, hits)))
+
+
 @query("u3_retrieved_relevant", sql("""SELECT DISTINCT experiment_id, route, document_id FROM hits JOIN labelled
     USING (document_id) WHERE label='RELEVANT'""", *HV, extra=HITS))
 def u3(spark, d):

@@ -273,3 +273,27 @@ def test_projection_keeps_variance(spark):
     p = np.array([r.components for r in cl.project(df, 3).orderBy("id").collect()])
     s = np.linalg.svd(v - v.mean(axis=0), compute_uv=False)
     assert np.allclose(p.var(axis=0) * len(v), s[:3] ** 2)
+
+
+@pytest.mark.parametrize("local_limit", [1000, 1])
+def test_one_tree_cut_at_every_height(spark, local_limit):
+    """Copies, ties and families of vectors: each cut equals plain linkage there, and a merge is never below one it takes in."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 5))
+    v = np.concatenate([centres[rng.integers(0, 6, 34)] + rng.normal(size=(34, 5)) * rng.uniform(0.1, 0.9, (34, 1)), centres[:3], centres[:3]])
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id long, vector array<double>")
+    heights = [0.05, 0.15, 0.3, 0.5, 0.8]
+    got = {}
+    for r in cl.clusters_at(df, heights, local_limit).collect():
+        got.setdefault(r.threshold, {}).setdefault(r.cluster, []).append(r.id)
+    for t in heights:
+        assert sorted(sorted(g) for g in got[t].values()) == _plain_linkage(v, t)
+        assert all(min(g) == c for c, g in got[t].items())
+    points = cl.collapse_copies(df)[0]
+    tree = cl.merge_tree(points, 0.8, local_limit).collect()
+    assert len({r.gone for r in tree}) == len(tree) == points.count() - len(got[0.8])
+    own = {r.gone: r.height for r in tree}
+    assert all(r.keep < r.gone and (r.keep not in own or own[r.keep] >= r.height) for r in tree)
+    with pytest.raises(ValueError):
+        cl.clusters_at(df, [0.5, 0.0])
+    assert cl.clusters_at(df.limit(0), [0.5]).count() == 0
