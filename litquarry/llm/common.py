@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +46,18 @@ def hashed_share(key: Column, share: Column | float) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share * F.lit(float(1 << 20))
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.StructType) and any(_has_map(f.dataType) for f in kind)
+
+
+def row_hash(df: DataFrame, names: list[str]) -> Column:
+    """Hash of the named columns; those that hold maps, which have no hash, count by their JSON."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{n}`").alias("v"))) if _has_map(kinds[n]) else F.col(f"`{n}`") for n in names])
+
+
 def clean_labels(labels: DataFrame, column: str) -> DataFrame:
     """One 0/1 label per doc_id that learners may see; a repeated id takes its largest label."""
     lab = labels.select("doc_id", F.col(column).cast("int").alias("label"))
@@ -66,6 +78,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     chosen = lab.where(keep)
     small = sum(min(per_class.get(k, 0), n) for k, n in counts.items()) <= 100_000
     found = docs.join(F.broadcast(chosen) if small else chosen, "doc_id")
-    others = [F.col(f"`{n}`") for n in docs.columns if n != "doc_id"]
-    one = found.groupBy("doc_id", "label").agg(F.min_by(F.struct(*others), F.xxhash64(*others)).alias("_one"))
+    names = [n for n in docs.columns if n != "doc_id"]
+    one = found.groupBy("doc_id", "label").agg(F.min_by(F.struct(*[F.col(f"`{n}`") for n in names]), row_hash(docs, names)).alias("_one"))
     return one.select("doc_id", "_one.*", "label")

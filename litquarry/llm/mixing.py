@@ -96,7 +96,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         F.col("source").alias("_source"), "source_size", "target", "whole", "bound")
     if keep:
         sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), place(F.col("doc_id"), F.col("text")).alias("place"),
-                            F.struct(*keep).alias("_kept"))
+                            F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_kept"))
     copies = F.col("whole") + F.when(F.col("whole") >= most, 0).otherwise((F.col("place") < F.col("bound")).cast("int"))
     out = sizes.join(small_side(plan), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_copies", copies)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("_copies")).cast("long").alias("taken"),

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from litquarry.llm.common import bounded_batches
+from litquarry.llm.common import bounded_batches, row_hash
 from litquarry.llm.components import connected_components
 from litquarry.llm.simhash import as_rows, by_key, fingerprints, forest, forests, group_pairs, near_groups, sampled_masks, shingle_hashes
 from litquarry.scale import cut, small_side
@@ -126,7 +126,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
     """
     bounded_batches(docs.sparkSession)
     names = docs.columns
-    named = docs.withColumn("_nd_digest", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))).withColumn("_nd_row", F.xxhash64(*[F.col(f"`{c}`") for c in names]))
+    named = docs.withColumn("_nd_digest", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))).withColumn("_nd_row", row_hash(docs, names))
     facts = cut(fingerprints(named, shingle, WIDTH, True, ("doc_id", "_nd_digest", "_nd_row")))
     nodes = cut(facts.groupBy(F.col("_nd_digest").alias("node")).agg(
         F.min("fp").alias("fp"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_nd_row").alias("row"))).alias("least")))
