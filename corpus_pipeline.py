@@ -22,15 +22,14 @@ ORACLE_SQL = None  # models, fingerprints and tokens: tested against brute force
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold of operator 1, fitted on those of them that are labelled."""
     machine = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = docs.withColumn("_quality", quality.score_column(docs, machine))
-    return scored.where(F.col("_quality") >= quality.THRESHOLD).drop("_quality")
+    return docs.where(quality.score_column(docs, machine) >= quality.THRESHOLD)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that operator 8 learned from the table, with at least an even chance."""
     model = language_id.fit(docs)
-    named = docs.withColumn("_language", language_id.language_column(spark, model, F.col("text")))
-    return named.where((F.col("_language.lang_pred") != language_id.UNKNOWN) & (F.col("_language.score") >= LEAST_LANGUAGE_SCORE)).drop("_language")
+    found = F.array(language_id.language_column(spark, model, F.col("text")))
+    return docs.where(F.exists(found, lambda x: (x["lang_pred"] != language_id.UNKNOWN) & (x["score"] >= LEAST_LANGUAGE_SCORE)))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
