@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from litquarry.functions.core import round_half_up
-from litquarry.operators import fusion, ir_metrics as ir, retrieval as rt, windows as wn
+from litquarry.operators import block_max as bmx, dense, fusion, ir_metrics as ir, retrieval as rt, windows as wn
 from litquarry.plans.registry import query
 from litquarry.plans.views import chunks, docs, labelled, questions, r_sql, ratio_sql, sql, sub_queries, tok
 from litquarry.scale import cut
@@ -97,6 +97,14 @@ def r3(spark, d):
     return rt.bm25(rt.materialised(_doc_index(spark, d)), questions(spark, d), ["experiment_id", "query_no"], K, BOOSTS)
 
 
+@query("r3_bm25_block_max", sql("SELECT experiment_id, query_no, doc_id, score, rank FROM bm", "docs", "sub",
+       extra=",\n".join([POST, STATS, bm25_ctes("sub", "bm", 10, BOOST_SQL)])))
+def r3_blocks(spark, d):
+    """Ten best documents of every sentence of a question, blocks of postings skipped by their bound."""
+    index = bmx.build_blocks(docs(spark, d), "document_id", {f: F.col(f) for f in BOOSTS})
+    return bmx.search(index, sub_queries(spark, d), ["experiment_id", "query_no"], 10, BOOSTS).hits
+
+
 FTS = f"""qf AS (SELECT DISTINCT experiment_id, query_no, term FROM
     (SELECT experiment_id, query_no, unnest({tok('query')}) AS term FROM sub)),
  qn AS (SELECT experiment_id, query_no, count(*) AS n_terms FROM qf GROUP BY ALL),
@@ -161,6 +169,27 @@ def r6(spark, d):
     return rt.knn(_vectors(spark, d), _query_vectors(spark, d), K, 0.4)
 
 
+MANY = 10
+KNN_MANY = f"""ms AS (SELECT a.vec_id AS query_id, b.vec_id AS id,
+    {r_sql('(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])+1)/2', 6)} AS score
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"""
+
+
+@query("r6_dense_many_queries", sql(f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+    FROM ms WHERE score >= 0.4) WHERE rank <= {MANY}""", extra=KNN_MANY))
+def r6_many(spark, d):
+    """Nearest others of every vector, cells that cannot hold one skipped."""
+    v = _vectors(spark, d)
+    return dense.knn_cells(v, v.withColumnRenamed("id", "query_id"), MANY, 0.4, exclude_self=True)
+
+
+@query("r6_dense_probed_cells")
+def r6_probed(spark, d):
+    """Approximate form of ``r6_dense_many_queries``; tests hold its recall at 0.9 or more."""
+    v = _vectors(spark, d)
+    return dense.knn_cells(v, v.withColumnRenamed("id", "query_id"), MANY, 0.4, exclude_self=True, probes=dense.PROBES)
+
+
 # ---- three routes and their fusion ---------------------------------------------------------------
 # lexical hits are chunks; dense hits stand for documents; text match gives priority chunks
 
