@@ -139,6 +139,38 @@ def test_greedy_match_matches_sequential_scan(spark):
                 seen_p.add(p)
         df = spark.createDataFrame(pairs, "document_id long, question_id string, g string, p string, g_copies long, p_copies long, score double")
         assert {(r.g, r.p) for r in ev.greedy_match(df).collect()} == want
+        assert {(r.g, r.p) for r in ev.greedy_match(df, whole=True).collect()} == want
+
+
+def _extracted(spark, groups: dict, seed: int):
+    rnd = random.Random(seed)
+    words = ["late", "blight", "root", "rot", "copper", "oil"]
+    row = lambda k: (*k, [" ".join(rnd.sample(words, 3)), f"mic {rnd.randint(1, 30)}"])
+    make = lambda: spark.createDataFrame([row(k) for k, n in groups.items() for _ in range(n)], "document_id long, question_id string, cells array<string>")
+    return make(), make(), ev.Profile("Q1", ("Compound", "Activity data"), (0, 1))
+
+
+def test_small_groups_are_compared_without_blocking_keys(spark, monkeypatch):
+    def keys(*_):
+        raise AssertionError("a small group was blocked")
+
+    gold, predicted, profile = _extracted(spark, {(1, "a"): 9, (1, "b"): 4, (None, "a"): 40, (2, None): 40}, 6)
+    found = lambda: sorted((r.document_id, r.question_id, r.g, r.p, r.g_copies, r.p_copies, r.score) for r in ev.similar_rows(gold, predicted, profile, 0.55).collect())
+    monkeypatch.setattr(ev, "WHOLE_GROUP", 0)
+    want = found()
+    monkeypatch.setattr(ev, "WHOLE_GROUP", 32)
+    monkeypatch.setattr(ev, "_blocks", keys)
+    assert want and found() == want
+
+
+def test_rows_of_large_and_small_groups_score_alike(spark, monkeypatch):
+    gold, predicted, profile = _extracted(spark, {(1, "a"): 30, (2, "a"): 5, (3, "b"): 8}, 7)
+    counts = lambda: sorted(tuple(r) for r in ev.score_rows(gold, predicted, profile, 0.55).collect())
+    got = counts()  # document 1 has more rows than one task compares whole
+    monkeypatch.setattr(ev, "WHOLE_GROUP", 0)
+    assert counts() == got
+    monkeypatch.setattr(ev, "WHOLE_GROUP", 1000)
+    assert counts() == got
 
 
 def _evidence(rnd, n):
