@@ -484,14 +484,35 @@ def reconcile_summary(details: DataFrame) -> DataFrame:
         "numeric_match_rate", ratio(c("numeric_matches"), c("shared")))
 
 
+def _cited(claims: DataFrame) -> DataFrame:
+    return claims.select("claim_id", "report_id", F.explode(F.array_distinct(F.regexp_extract_all(
+        F.col("text"), F.lit(ce.CITATION), F.lit(1)))).alias("literature_no")).withColumn(
+        "literature_no", F.col("literature_no").cast("int"))
+
+
 def claim_provenance(claims: DataFrame, evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     """Claim, cited literature number, evidence and chunk ids as rows; only cited numbers count.
 
     ``claims(claim_id, report_id, text)``, ``evidence(report_id, literature_no, evidence_id, document_id)``,
     ``chunks(document_id, chunk_id)``.
     """
-    cited = claims.select("claim_id", "report_id", F.explode(F.array_distinct(F.regexp_extract_all(
-        F.col("text"), F.lit(ce.CITATION), F.lit(1)))).alias("literature_no")).withColumn(
-        "literature_no", F.col("literature_no").cast("int"))
-    return cited.join(evidence, ["report_id", "literature_no"]).join(chunks, "document_id", "left").select(
+    return _cited(claims).join(evidence, ["report_id", "literature_no"]).join(chunks, "document_id", "left").select(
         "claim_id", "literature_no", "evidence_id", "document_id", "chunk_id")
+
+
+def claim_provenance_counts(claims: DataFrame, evidence: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Distinct evidence ids and chunk ids per claim and cited number, as counted over ``claim_provenance``.
+
+    What a number stands for in a report does not depend on the claim, so all claims that cite it in the same reports go
+    through ``claim_provenance`` as one and share its counts; no row is made per claim and evidence row.
+    """
+    citing = _cited(claims).groupBy("claim_id", "literature_no").agg(F.sort_array(F.collect_set("report_id")).alias("reports"))
+    tag = F.concat(F.lit("[文献"), F.col("literature_no").cast("string"), F.lit("]"))
+    shared = citing.select("literature_no", "reports").distinct().select(
+        F.struct("literature_no", "reports").alias("claim_id"), F.explode("reports").alias("report_id"), tag.alias("text"))
+    rows = claim_provenance(shared, evidence.select("report_id", "literature_no", "evidence_id", "document_id").distinct(),
+                            chunks.select("document_id", "chunk_id").distinct())
+    counts = cut(rows.groupBy("claim_id", "literature_no").agg(
+        F.countDistinct("evidence_id").alias("evidence_rows"), F.countDistinct("chunk_id").alias("chunks")).select(
+        "literature_no", F.col("claim_id.reports").alias("reports"), "evidence_rows", "chunks"))
+    return citing.join(small_side(counts), ["literature_no", "reports"]).select("claim_id", "literature_no", "evidence_rows", "chunks")

@@ -562,5 +562,4 @@ def j15(spark, d):
     s = table(spark, d, "supplier", "s_suppkey")
     e = s.where("s_suppkey % 9 > 0").select(F.lit(1).alias("report_id"), (c("s_suppkey") % 9).cast("int").alias("literature_no"), c("s_suppkey").alias("evidence_id"), c("s_suppkey").alias("document_id"))
     ch = s.select(c("s_suppkey").alias("document_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("i")).select("document_id", F.concat_ws(":", "document_id", "i").alias("chunk_id"))
-    return ev.claim_provenance(claims, e, ch).groupBy("claim_id", "literature_no").agg(
-        F.countDistinct("evidence_id").alias("evidence_rows"), F.countDistinct("chunk_id").alias("chunks"))
+    return ev.claim_provenance_counts(claims, e, ch)

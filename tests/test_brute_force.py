@@ -142,6 +142,23 @@ def test_greedy_match_matches_sequential_scan(spark):
         assert {(r.g, r.p) for r in ev.greedy_match(df, whole=True).collect()} == want
 
 
+def test_claim_counts_make_no_row_per_claim_and_evidence(spark, monkeypatch):
+    rnd = random.Random(8)
+    texts = [" ".join(f"[文献{rnd.choice(['1', '2', '02', '7'])}]" for _ in range(rnd.randint(0, 3))) for _ in range(60)]
+    claims = spark.createDataFrame([(rnd.choice([None, *range(20)]), rnd.choice([None, 1, 2]), t) for t in texts] + [(3, 1, None)], "claim_id long, report_id int, text string")
+    evidence = spark.createDataFrame([(rnd.choice([None, 1, 1, 2]), rnd.choice([None, 1, 2]), rnd.randint(1, 9), rnd.choice([None, 4, 5, 6])) for _ in range(40)],
+                                     "report_id int, literature_no int, evidence_id long, document_id long")
+    chunks = spark.createDataFrame([(d, f"{d}:{i % 3}") for d in (4, 5) for i in range(5)] + [(None, "x"), (4, None)], "document_id long, chunk_id string")
+    want = ev.claim_provenance(claims, evidence, chunks).groupBy("claim_id", "literature_no").agg(
+        F.countDistinct("evidence_id").alias("evidence_rows"), F.countDistinct("chunk_id").alias("chunks"))
+    key = lambda df: sorted(tuple(-1 if v is None else v for v in r) for r in df.collect())
+    made, whole = [], ev.claim_provenance
+    monkeypatch.setattr(ev, "claim_provenance", lambda *a: made.append(whole(*a)) or made[-1])
+    got = ev.claim_provenance_counts(claims, evidence, chunks)
+    assert got.columns == want.columns and key(got) == key(want)
+    assert made[0].count() < whole(claims, evidence, chunks).count() / 2
+
+
 def _extracted(spark, groups: dict, seed: int):
     rnd = random.Random(seed)
     words = ["late", "blight", "root", "rot", "copper", "oil"]
