@@ -3,11 +3,13 @@
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from litquarry.functions import identifiers as ids
 from litquarry.operators import chunking as ck, cluster as cl, corpus as cp, evidence as ev, report as rp, retrieval as rt
 from litquarry.scale import exact_median, global_rank
 
@@ -125,6 +127,22 @@ def test_windows_match_plain_loop(spark, block):
         assert [(r.first_pos, r.last_pos) for r in got if r.document_id == d] == want
 
 
+def test_long_keyword_line_is_cleaned_once_per_keyword(spark):
+    words = [f"{'Leaf-' if i % 3 else 'leaf '}{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}" for i in range(1500)]
+    words = [words[0].upper(), "x", "123", "copyright text", *words]
+    df = spark.createDataFrame([(" ; ".join(words),), (", ".join(words),), (None,), ("",), (" ;; ",)], "t string").coalesce(1)
+    began = time.monotonic()
+    got = [r[0] for r in df.select(ids.split_keywords(F.col("t"), 1000)).collect()]
+    assert time.monotonic() - began < 30  # minutes where each keyword cleans all others again
+    want, seen = [], set()
+    for w in words:
+        key = "".join(x for x in w.lower() if x.isalnum())
+        if w not in ("x", "123", "copyright text") and key not in seen:
+            seen.add(key)
+            want.append(w)
+    assert len(want) > 500 and got == [want[:1000]] * 2 + [[]] * 3
+
+
 # ---- matching and selection ----------------------------------------------------------------------
 
 def test_greedy_match_matches_sequential_scan(spark):
