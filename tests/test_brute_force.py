@@ -364,3 +364,14 @@ def test_one_tree_cut_at_every_height(spark, local_limit):
     with pytest.raises(ValueError):
         cl.clusters_at(df, [0.5, 0.0])
     assert cl.clusters_at(df.limit(0), [0.5]).count() == 0
+
+
+def test_nearest_pairs_are_bounded_by_those_of_some_vectors(spark, monkeypatch):
+    v, df = _vectors(spark, 60)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    d = sorted((math.floor(max(0.0, 1 - float(u[i] @ u[j])) * 1e9 + 0.5) / 1e9, i, j) for i in range(60) for j in range(i + 1, 60) if i % 9 != j % 9)
+    limits, pairs = [], cl.cosine_pairs
+    monkeypatch.setattr(cl, "cosine_pairs", lambda x, limit, *a: limits.append(limit) or pairs(x, limit, *a))
+    monkeypatch.setattr(cl, "BOUND_ROWS", 30, raising=False)
+    got = [(r.left_id, r.right_id) for r in cl.nearest_pairs(df, 8, 1.0).orderBy("distance", "left_id", "right_id").collect()]
+    assert got == [(i, j) for _, i, j in d[:8]] and limits[-1] < 0.9
