@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from litquarry.functions.core import ratio, round_half_up, tokens
-from litquarry.scale import cut
+from litquarry.scale import cut, same_key, small_side, spread
 from litquarry.functions.identifiers import clean_keyword, keyword_key
 
+SAME_ID_TEXTS = 32  # texts of one id that one task may count
+
 # Words that never make a keyword and phrases that come first.
 STOPWORDS = [
     "about", "above", "after", "again", "against", "also", "among", "analysis", "and", "another", "any", "are", "article", "because", "been",
@@ -78,17 +80,27 @@ def phrase_scores(docs: DataFrame) -> DataFrame:
     """Candidate phrases of one to three words per document with score and order of first use.
 
     ``docs(document_id, title, text)``. A phrase earns one point per use plus two per word of it that is in the title.
+    Texts are moved by document, which is less than their phrases; phrases are moved only of an id with many texts, or null.
     """
+    docs = docs.select("document_id", "title", "text")
+    many = cut(docs.groupBy("document_id").agg(F.count("*").alias("_n")).where((F.col("_n") > SAME_ID_TEXTS) | F.col("document_id").isNull()).select("document_id"))
+    if many.isEmpty():
+        return _phrase_sums(spread(docs, "document_id"))
+    many = small_side(many)
+    few = docs.join(many, same_key(docs, many, ["document_id"]), "left_anti")
+    return _phrase_sums(spread(few, "document_id")).unionByName(_phrase_sums(docs.join(many, same_key(docs, many, ["document_id"]), "left_semi")))
+
+
+def _phrase_sums(docs: DataFrame) -> DataFrame:
     raw = F.transform(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z-]{2,}"), F.lit(0)), lambda w: F.btrim(F.lower(w), F.lit("-")))
     words = F.filter(raw, lambda w: ~w.isin(STOPWORDS) & (F.length(w) >= 4))
     t = docs.select("document_id", words.alias("_w"), F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit(r"[a-z][a-z-]{2,}"), F.lit(0))).alias("_t"))
-    out = None
-    for n in (1, 2, 3):
-        part = t.select("document_id", F.lit(n).alias("n"), F.posexplode(ngrams(F.col("_w"), n)).alias("pos", "phrase"), "_t").where(F.length("phrase").between(4, 60))
-        hits = F.size(F.filter(F.split("phrase", " "), lambda w: F.array_contains(F.col("_t"), w)))
-        part = part.select("document_id", "n", "pos", "phrase", hits.alias("title_words"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("document_id", "n", "phrase").agg(F.sum(1 + 2 * F.col("title_words")).alias("score"), F.min("pos").alias("first"), F.max("title_words").alias("title_words"))
+    numbered = lambda n: F.transform(ngrams(F.col("_w"), n), lambda phrase, pos: F.struct(F.lit(n).alias("n"), pos.alias("pos"), phrase.alias("phrase")))
+    grams = F.concat(*[numbered(n) for n in (1, 2, 3)])
+    hits = F.size(F.filter(F.split("phrase", " "), lambda w: F.array_contains(F.col("_t"), w)))
+    used = t.select("document_id", F.explode(grams).alias("g"), "_t").select("document_id", "g.*", "_t").where(F.length("phrase").between(4, 60)).select(
+        "document_id", "n", "pos", "phrase", hits.alias("title_words"))
+    return used.groupBy("document_id", "n", "phrase").agg(F.sum(1 + 2 * F.col("title_words")).alias("score"), F.min("pos").alias("first"), F.max("title_words").alias("title_words"))
 
 
 def generated_keywords(docs: DataFrame, shortlist: int = 30, limit: int = 8) -> DataFrame:

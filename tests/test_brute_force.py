@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from litquarry.functions import identifiers as ids
-from litquarry.operators import chunking as ck, cluster as cl, corpus as cp, evidence as ev, report as rp, retrieval as rt
+from litquarry.operators import chunking as ck, cluster as cl, corpus as cp, evidence as ev, report as rp, retrieval as rt, topics as tp
 from litquarry.scale import exact_median, global_rank
 
 
@@ -375,3 +375,27 @@ def test_nearest_pairs_are_bounded_by_those_of_some_vectors(spark, monkeypatch):
     monkeypatch.setattr(cl, "BOUND_ROWS", 30, raising=False)
     got = [(r.left_id, r.right_id) for r in cl.nearest_pairs(df, 8, 1.0).orderBy("distance", "left_id", "right_id").collect()]
     assert got == [(i, j) for _, i, j in d[:8]] and limits[-1] < 0.9
+
+
+def test_phrases_of_ids_with_few_and_many_texts_count_alike(spark, monkeypatch):
+    rnd = random.Random(11)
+    words = ["blight", "copper", "with", "late-", "mycelium", "zoospore", "root"]
+    rows = [(i, " ".join(rnd.choices(words, k=rnd.randint(0, 12)))) for i in (1, 2, 2, 3, 3, 3, None, None)] + [(4, None)]
+    df = spark.createDataFrame([(i, t and t.split(" ")[0], t) for i, t in rows], "document_id long, title string, text string")
+    moved, sums = [], tp._phrase_sums
+    monkeypatch.setattr(tp, "_phrase_sums", lambda d: moved.append(sorted(str(r[0]) for r in d.select("document_id").collect())) or sums(d))
+    counts = lambda: sorted((str(r.document_id), r.n, r.phrase, r.score, r.first, r.title_words) for r in tp.phrase_scores(df).collect())
+    got = counts()
+    assert moved == [["1", "2", "2", "3", "3", "3", "4"], ["None", "None"]]
+    monkeypatch.setattr(tp, "SAME_ID_TEXTS", 0)
+    assert got and counts() == got
+    want = {}
+    for i, text in rows:
+        kept = [w for w in ((x.strip("-")) for x in (text or "").split()) if len(w) >= 4 and w != "with"]
+        title = (text or "").split(" ")[0]
+        for n in (1, 2, 3):
+            for p in range(len(kept) - n + 1):
+                hits = sum(w == title for w in kept[p:p + n])
+                old = want.get((str(i), n, " ".join(kept[p:p + n])), (0, p, 0))
+                want[str(i), n, " ".join(kept[p:p + n])] = (old[0] + 1 + 2 * hits, min(old[1], p), max(old[2], hits))
+    assert got == sorted((*k, *v) for k, v in want.items())
