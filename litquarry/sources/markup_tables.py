@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from litquarry.scale import spread
+
 # Fixed value: a cell that holds a measurement rather than a label, blanks taken out.
 DATA_VALUE = r"^[<>~≈=]?\s*\d[\d.,]*\s*(?:[-–±/]\s*\d[\d.,]*)?\s*%?$"
 HEADER_JOIN = " — "
@@ -91,7 +93,8 @@ def parse_tables(papers: DataFrame, key: str, markup: str) -> DataFrame:
                 out += [(paper, f"T{i}", *t, DONE) for i, t in enumerate(found, 1)] or [(paper, None, None, None, None, None, DONE)]
             yield pd.DataFrame(out, columns=schema.names)
 
-    return papers.select(key, markup).mapInPandas(run, schema)
+    # small files come as one partition, and reading a paper costs far more than its bytes
+    return spread(papers.select(key, markup), F.xxhash64(key, markup)).mapInPandas(run, schema)
 
 
 def _padded(rows: Column) -> Column:

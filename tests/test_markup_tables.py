@@ -1,6 +1,7 @@
 """Tables of marked-up papers: spans, nesting, headers, footnotes, broken markup."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from litquarry.sources import markup_tables as mt
 
@@ -39,3 +40,10 @@ def test_counts_of_broken_and_empty_papers(spark):
     assert tuple(mt.backfill_counts(tables, "paper").first()) == (6, 3, 3, 3)
     assert mt.data_cells(mt.with_headers(tables), "paper").count() == 0
     assert tuple(mt.backfill_counts(mt.parse_tables(df.limit(0), "paper", "markup"), "paper").first()) == (0, 0, 0, 0)
+
+
+def test_papers_of_one_partition_are_read_by_all_tasks(spark):
+    papers = spark.createDataFrame([(i, f"<TEI><table><row><cell>{i}</cell></row></table></TEI>") for i in range(400)], "paper long, markup string").coalesce(1)
+    held = mt.parse_tables(papers, "paper", "markup").groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(r["count"] for r in held) == 400
