@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,11 +33,14 @@ class InvertedIndex:
     """``postings(doc_id, field, term, tf, dl)``, as planned from the texts or, with ``shards``, as stored by term.
 
     A stored index has a column of the term's shard, by which its files are laid out and whose name tells the number
-    of shards, so that a search reads the files of its terms' shards and never the texts again.
+    of shards, so that a search reads the files of its terms' shards and never the texts again. ``words(doc_id, field, dl, t)``
+    are the tokens, spread by document, of which an index is planned; ``lists`` are kept ones, counted (see ``materialised``).
     """
 
     postings: DataFrame
     shards: int = 0
+    words: DataFrame | None = None
+    lists: DataFrame | None = None
 
     def of_terms(self, terms: DataFrame) -> DataFrame:
         """Postings of ``terms(term)``, from their shards only where the index is stored."""
@@ -70,11 +74,9 @@ def build_index(docs: DataFrame, doc_id: str, fields: dict[str, Column]) -> Inve
         "doc_id",
         F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in fields])).alias("x"),
     )
-    exploded = rows.select(
-        "doc_id", F.col("x.field").alias("field"), F.size("x.t").cast("long").alias("dl"),
-        F.explode("x.t").alias("term"),
-    )
-    return InvertedIndex(exploded.groupBy("doc_id", "field", "dl", "term").agg(F.count("*").alias("tf")))
+    words = rows.select("doc_id", F.col("x.field").alias("field"), F.size("x.t").cast("long").alias("dl"), F.col("x.t").alias("t"))
+    exploded = words.select("doc_id", "field", "dl", F.explode("t").alias("term"))
+    return InvertedIndex(exploded.groupBy("doc_id", "field", "dl", "term").agg(F.count("*").alias("tf")), words=words)
 
 
 def write_index(index: InvertedIndex, path: str, shards: int = TERM_SHARDS) -> None:
@@ -100,14 +102,81 @@ def materialised(index: InvertedIndex) -> InvertedIndex:
     """The index kept by document on the executors' disks: one pass over the texts, however often one query reads it.
 
     For a search with many queries this beats shards of terms, as the contributions to a document need not be moved: the
-    kept postings are still known to lie by document, which a checkpoint would forget. What a lost executor kept is computed
+    kept postings still lie by document, which a checkpoint would forget. What a lost executor kept is computed
     anew from the texts. The last KEPT indexes stay; an older one would be computed anew.
+
+    An index planned from texts is kept as ``lists(doc_id, field, dl, terms, tfs)``, a row for each document, field and length:
+    its terms, parted by blanks, and their counts. Rows of a document are neighbours in one task's output.
     """
-    kept = index.postings.select(*POSTING).persist(StorageLevel.DISK_ONLY)
+    kept = (index.postings.select(*POSTING) if index.words is None else _term_lists(index.words)).persist(StorageLevel.DISK_ONLY)
     _kept.append(kept)
     if len(_kept) > KEPT:
         _kept.pop(0).unpersist()
-    return InvertedIndex(kept)
+    if index.words is None:
+        return InvertedIndex(kept)
+    held = F.explode(F.arrays_zip(F.split("terms", " ").alias("term"), F.col("tfs").alias("tf")))
+    return InvertedIndex(kept.select("doc_id", "field", "dl", held.alias("p")).select(
+        "doc_id", "field", "dl", F.col("p.term").alias("term"), F.col("p.tf").cast("long").alias("tf")), lists=kept)
+
+
+def _term_lists(words: DataFrame) -> DataFrame:
+    """Tokens counted by document, field and length; ``words`` are spread by document."""
+    rows = words.where("dl > 0").select("doc_id", "field", "dl", F.array_join("t", " ").alias("t")).sortWithinPartitions("doc_id", "field", "dl")
+    schema = T.StructType([*rows.schema.fields[:3], T.StructField("terms", T.StringType()), T.StructField("tfs", T.ArrayType(T.IntegerType()))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row, which the next batch may go on with
+        for batch in batches:
+            if batch.num_rows:
+                table = _counted(batch)
+                if held is not None:
+                    same = held.select([0, 1, 2]).equals(table.slice(0, 1).select([0, 1, 2]))
+                    table = pa.concat_tables([_added(held, table.slice(0, 1)), table.slice(1)] if same else [held, table])
+                held = table.slice(table.num_rows - 1)
+                yield from table.slice(0, table.num_rows - 1).to_batches()
+        if held is not None:
+            yield from held.to_batches()
+
+    return rows.mapInArrow(count, schema)
+
+
+def _changes(columns: list[pa.Array]) -> np.ndarray:
+    """True for rows that differ from the row before in a column; the first row does."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new) > 1:
+        new[1:] = False
+        for c in columns:
+            a, b = c.slice(1), c.slice(0, len(c) - 1)
+            other = pc.if_else(pc.or_(pc.is_null(a), pc.is_null(b)), pc.xor(pc.is_null(a), pc.is_null(b)), pc.not_equal(a, b))
+            new[1:] |= other.to_numpy(zero_copy_only=False)
+    return new
+
+
+def _counted(batch: pa.RecordBatch) -> pa.Table:
+    """Sorted rows ``doc_id, field, dl, t`` with each key once, its terms and their counts."""
+    new = _changes(batch.columns[:3])
+    lists = pc.split_pattern(batch.column(3), " ")
+    words = lists.flatten().dictionary_encode()
+    n, known = int(new.sum()), len(words.dictionary)
+    key = np.repeat(np.cumsum(new) - 1, pc.list_value_length(lists).to_numpy()) * known + words.indices.to_numpy()
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    tf = np.diff(np.append(first, len(key)))
+    group, term = np.divmod(key[first], known)
+    starts = pa.array(np.searchsorted(group, np.arange(n + 1)), pa.int32())
+    terms = pc.binary_join(pa.ListArray.from_arrays(starts, words.dictionary.take(pa.array(term))), " ")
+    at = pa.array(np.flatnonzero(new))
+    return pa.Table.from_arrays([*[c.take(at) for c in batch.columns[:3]], terms, pa.ListArray.from_arrays(starts, pa.array(tf, pa.int32()))],
+                                names=["doc_id", "field", "dl", "terms", "tfs"])
+
+
+def _added(a: pa.Table, b: pa.Table) -> pa.Table:
+    """Two rows of one key as one."""
+    sums = Counter()
+    for t in (a, b):
+        sums.update(dict(zip(t.column(3)[0].as_py().split(" "), t.column(4)[0].as_py())))
+    last = [pa.array([" ".join(sums)], a.schema.field(3).type), pa.array([list(sums.values())], a.schema.field(4).type)]
+    return pa.Table.from_arrays([*a.columns[:3], *last], schema=a.schema)
 
 
 KEPT = 4
@@ -132,6 +201,20 @@ def bm25(index: InvertedIndex, queries: DataFrame, query_id: list[str], k: int,
          boosts: dict[str, float], k1: float = K1, b: float = B) -> DataFrame:
     """Boosted multi-field BM25 with exact document lengths: ``query_id, doc_id, score, rank``."""
     terms = query_terms(queries, query_id)
+    few = _few_queries(terms, query_id)
+    if few and index.lists is not None:
+        known = sorted({t for _, held in few for t, _ in held})
+        stats = _frequencies(index.lists, known)
+        weights = {}
+        for field, (n, total, df) in stats.items():
+            w = np.log(1 + (n - df + 0.5) / (df + 0.5)) * boosts[field] if field in boosts else np.zeros(len(known))
+            weights[field] = w, total / n
+
+        def adds(field: str, no: np.ndarray, dl: np.ndarray, tf: np.ndarray) -> np.ndarray:
+            w, avgdl = weights[field]
+            return w[no] * (tf / (tf + k1 * (1 - b + b * dl / avgdl)))
+
+        return top_k(_best_in_lists(index.lists, known, adds, few, terms, query_id, k, False), query_id, "doc_id", k)
     postings = index.of_terms(terms.select("term").distinct())
     boost = F.create_map(*[F.lit(v) for f, w in boosts.items() for v in (f, float(w))])
     weights = cut(
@@ -143,10 +226,8 @@ def bm25(index: InvertedIndex, queries: DataFrame, query_id: list[str], k: int,
     )
     saturation = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     matched = postings.join(small_side(weights), ["field", "term"]).select("doc_id", "term", (F.col("w") * saturation).alias("x"))
-    if is_small(terms):
-        few = _query_rows(terms, query_id)
-        if 0 < len(few) <= QUERY_BROADCAST_ROWS:
-            return top_k(_best_documents(matched, few, terms, query_id, k, False), query_id, "doc_id", k)
+    if few:
+        return top_k(_best_documents(matched, few, terms, query_id, k, False), query_id, "doc_id", k)
     scored = matched.join(small_side(terms), "term").groupBy(*query_id, "doc_id").agg(
         round_half_up(F.sum(F.col("qtf") * F.col("x")), 6).alias("score")
     )
@@ -156,12 +237,14 @@ def bm25(index: InvertedIndex, queries: DataFrame, query_id: list[str], k: int,
 def text_match(index: InvertedIndex, queries: DataFrame, query_id: list[str], k: int) -> DataFrame:
     """Documents that hold every query term in any field, ranked by damped term frequency."""
     terms = query_terms(queries, query_id)
+    few = _few_queries(terms.withColumn("qtf", F.lit(1).cast("long")), query_id)
+    if few and index.lists is not None:
+        known = sorted({t for _, held in few for t, _ in held})
+        return top_k(_best_in_lists(index.lists, known, None, few, terms, query_id, k, True), query_id, "doc_id", k)
     by_doc = index.of_terms(terms.select("term").distinct()).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
     damped = by_doc.select("doc_id", "term", F.log1p("tf").alias("x"))
-    if is_small(terms):
-        few = _query_rows(terms.withColumn("qtf", F.lit(1).cast("long")), query_id)
-        if 0 < len(few) <= QUERY_BROADCAST_ROWS:
-            return top_k(_best_documents(damped, few, terms, query_id, k, True), query_id, "doc_id", k)
+    if few:
+        return top_k(_best_documents(damped, few, terms, query_id, k, True), query_id, "doc_id", k)
     wanted = terms.groupBy(*query_id).agg(F.count("*").alias("n_terms"))
     scored = (
         damped.join(small_side(terms.drop("qtf")), "term")
@@ -174,6 +257,12 @@ def text_match(index: InvertedIndex, queries: DataFrame, query_id: list[str], k:
     return top_k(scored, query_id, "doc_id", k)
 
 
+def _few_queries(terms: DataFrame, query_id: list[str]) -> list[tuple[tuple, list[tuple[str, int]]]]:
+    """Terms of each query if they can go to every task, else nothing."""
+    few = _query_rows(terms, query_id) if is_small(terms) else []
+    return few if len(few) <= QUERY_BROADCAST_ROWS else []
+
+
 def _query_rows(terms: DataFrame, query_id: list[str]) -> list[tuple[tuple, list[tuple[str, int]]]]:
     """Terms of each of a few queries, on the driver: ``terms`` is known to be small."""
     found: dict[tuple, list[tuple[str, int]]] = {}
@@ -189,15 +278,86 @@ def _best_documents(matches: DataFrame, queries: list, terms: DataFrame, query_i
     documents that hold all terms of a query count. Queries are few and go to the tasks, which read documents in order of
     their id and score blocks of them against all queries; pairs of query and document never become rows.
     """
-    spark = matches.sparkSession
-    number = {t: i for i, t in enumerate(sorted({t for _, held in queries for t, _ in held}))}
+    known = sorted({t for _, held in queries for t, _ in held})
+    numbers = matches.sparkSession.createDataFrame([(t, i) for i, t in enumerate(known)], "term string, no int")
+    rows = spread(matches.join(F.broadcast(numbers), "term").select("doc_id", "no", F.coalesce("x", F.lit(0.0)).alias("x")), "doc_id").sortWithinPartitions("doc_id")
+    return _best_of_rows(rows, _whole_documents, known, queries, terms, query_id, k, every)
+
+
+def _best_in_lists(lists: DataFrame, known: list[str], adds: Callable | None, queries: list, terms: DataFrame, query_id: list[str], k: int, every: bool) -> DataFrame:
+    """``_best_documents`` over kept term lists, in which rows of a document are neighbours: nothing is moved before the best rows.
+
+    ``adds(field, no, dl, tf)``: what terms, by their place in ``known``, add to a score; without it the damped sum over all fields.
+    """
+    shared = lists.sparkSession.sparkContext.broadcast(known)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+        wanted = pa.array(shared.value, pa.string())
+        for table in _whole_groups(batches):
+            batch = table.combine_chunks().to_batches()[0]
+            new = _changes(batch.columns[:1])
+            row, no, tf = _known_terms(batch, wanted)
+            doc = (np.cumsum(new) - 1)[row]
+            if adds is None:
+                both, inverse = np.unique(doc * len(wanted) + no, return_inverse=True)
+                doc, no = np.divmod(both, len(wanted))
+                x = np.log1p(np.bincount(inverse, tf, len(both)))
+            else:
+                x, dl, fields = np.zeros(len(no)), batch.column(2).to_numpy()[row], batch.column(1).dictionary_encode()
+                of = fields.indices.to_numpy()[row]
+                for i, field in enumerate(fields.dictionary.to_pylist()):
+                    here = of == i
+                    x[here] = adds(field, no[here], dl[here], tf[here])
+            yield batch.column(0).take(pa.array(np.flatnonzero(new))), np.searchsorted(doc, np.arange(int(new.sum()) + 1)), no, x
+
+    return _best_of_rows(lists.select("doc_id", "field", "dl", "terms", "tfs"), read, known, queries, terms, query_id, k, every)
+
+
+def _known_terms(batch: pa.RecordBatch, wanted: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place in ``wanted`` and count of every wanted term of lists."""
+    lists = pc.split_pattern(batch.column(3), " ")
+    no = pc.fill_null(pc.index_in(lists.flatten(), value_set=wanted), -1).to_numpy()
+    here = np.flatnonzero(no >= 0)
+    row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())[here]
+    return row, no[here].astype("int64"), batch.column(4).flatten().to_numpy()[here].astype("float64")
+
+
+def _frequencies(lists: DataFrame, known: list[str]) -> dict[str, tuple[int, int, np.ndarray]]:
+    """Of each field the documents, the sum of their lengths and the documents that hold each known term: as many numbers as terms."""
+    shared = lists.sparkSession.sparkContext.broadcast(known)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = pa.array(shared.value, pa.string())
+        sums: dict[str, np.ndarray] = {}  # documents of each term, then documents and their length
+        for batch in batches:
+            if batch.num_rows:
+                fields = batch.column(1).dictionary_encode()
+                of, dl = fields.indices.to_numpy(), batch.column(2).to_numpy()
+                row, no, _ = _known_terms(batch, wanted)
+                for i, field in enumerate(fields.dictionary.to_pylist()):
+                    here = of == i
+                    found = np.concatenate([np.bincount(no[here[row]], minlength=len(wanted)), [here.sum(), dl[here].sum()]])
+                    sums[field] = sums.get(field, 0) + found
+        for field, n in sums.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([field] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["field", "no", "n"])
+
+    found: dict[str, np.ndarray] = {}
+    counts = lists.select("doc_id", "field", "dl", "terms", "tfs").mapInArrow(count, "field string, no long, n long")
+    for field, no, n in counts.groupBy("field", "no").agg(F.sum("n").alias("n")).collect():
+        found.setdefault(field, np.zeros(len(known) + 2, "int64"))[no] = n
+    return {field: (int(n[-2]), int(n[-1]), n[:-2]) for field, n in found.items()}
+
+
+def _best_of_rows(rows: DataFrame, read: Callable, known: list[str], queries: list, terms: DataFrame, query_id: list[str], k: int, every: bool) -> DataFrame:
+    """Best documents of each task, of the blocks of documents that ``read`` makes of its rows."""
+    spark = rows.sparkSession
+    number = {t: i for i, t in enumerate(known)}
     entries = sorted((number[t], q, n) for q, (_, held) in enumerate(queries) for t, n in held)  # by term
     held = np.array([e[0] for e in entries], "int64")
     starts = np.searchsorted(held, np.arange(len(number) + 1))
     shared = spark.sparkContext.broadcast((starts, np.array([e[1] for e in entries], "int64"), np.array([e[2] for e in entries], "float64")))
     ids, n_queries = [q for q, _ in queries], len(queries)
-    numbers = spark.createDataFrame(list(number.items()), "term string, no int")
-    rows = spread(matches.join(F.broadcast(numbers), "term").select("doc_id", "no", F.coalesce("x", F.lit(0.0)).alias("x")), "doc_id").sortWithinPartitions("doc_id")
     schema = T.StructType([*[terms.schema[c] for c in query_id], rows.schema["doc_id"], T.StructField("score", T.DoubleType())])
 
     from pyspark.sql.pandas.types import to_arrow_type
@@ -207,7 +367,7 @@ def _best_documents(matches: DataFrame, queries: list, terms: DataFrame, query_i
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(n_queries, k, types[-2])
         docs_at_once = max(1, SCORE_CELLS // n_queries)
-        for docs, first, term, x in _whole_documents(batches):
+        for docs, first, term, x in read(batches):
             for at in range(0, len(docs), docs_at_once):
                 n = min(docs_at_once, len(docs) - at)
                 lo, hi = first[at], first[at + n]
@@ -254,22 +414,47 @@ def _whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Arr
         yield cut_up(pa.concat_tables(held), True)[0]
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches cut anew so that neighbouring rows of one first column stay together."""
+    held: list[pa.Table] = []  # rows of one document
+    for batch in batches:
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch])
+            starts = np.flatnonzero(_changes(batch.columns[:1]))
+            goes_on = bool(held) and held[0].column(0)[0] == table.column(0)[0]
+            last = int(starts[-1])
+            if goes_on and not last:
+                held.append(table)
+                continue
+            if held or last:
+                yield pa.concat_tables([*held, table.slice(0, last)])
+            held = [table.slice(last)]
+    if held:
+        yield pa.concat_tables(held)
+
+
 def _products(x: np.ndarray | None, row: np.ndarray, term: np.ndarray, n: int, n_queries: int, starts: np.ndarray, query: np.ndarray,
               qtf: np.ndarray) -> np.ndarray:
     """Sums over shared terms by document and query: of ``x`` times the term's count in the query; without ``x`` the number of terms."""
-    used, col = np.unique(term, return_inverse=True)
+    out = np.zeros(n * n_queries)
     if x is None:
-        _, once = np.unique(row * len(used) + col, return_index=True)  # a term in several fields is one
-        row, col, x, qtf = row[once], col[once], np.ones(len(once)), np.ones(len(qtf))
-    out = np.zeros((n, n_queries))
-    adds = int((np.bincount(col, minlength=len(used)) * (starts[used + 1] - starts[used])).sum())
-    if adds * DENSE_GAIN < n * n_queries * len(used):
-        order = np.argsort(col, kind="stable")
-        row, x, bounds = row[order], x[order], np.searchsorted(col[order], np.arange(len(used) + 1))
-        for i, t in enumerate(used):
-            q, r = slice(starts[t], starts[t + 1]), slice(bounds[i], bounds[i + 1])
-            np.add.at(out, (row[r][:, None], query[q][None, :]), x[r][:, None] * qtf[q][None, :])
-        return out
+        row, term = np.divmod(np.unique(row * len(starts) + term), len(starts))  # a term in several fields is one
+        x, qtf = np.ones(len(row)), np.ones(len(qtf))
+    queries_of = starts[term + 1] - starts[term]
+    n_used = np.count_nonzero(np.bincount(term))
+    if queries_of.sum() * DENSE_GAIN < n * n_queries * n_used:
+        ends = np.cumsum(queries_of)
+        at = 0
+        while at < len(term):  # about SCORE_CELLS products at once
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - queries_of[at] + SCORE_CELLS, "right")))
+            times = queries_of[at:to]
+            place = np.arange(times.sum()) + np.repeat(starts[term[at:to]] - (np.cumsum(times) - times), times)
+            cell = np.repeat(row[at:to] * n_queries, times) + query[place]
+            out += np.bincount(cell, np.repeat(x[at:to], times) * qtf[place], n * n_queries)
+            at = to
+        return out.reshape(n, n_queries)
+    out = out.reshape(n, n_queries)
+    used, col = np.unique(term, return_inverse=True)
     step = max(1, SCORE_CELLS // max(n, n_queries))
     for at in range(0, len(used), step):
         part = used[at:at + step]
