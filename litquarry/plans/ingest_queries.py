@@ -70,5 +70,5 @@ def x2(spark, d):
 def s3(spark, d):
     """Every page as a file of its own below a folder tree, found again by walking it."""
     folder = _folder(spark, "pages")
-    table(spark, d, "pages", "page_id", "html").repartition("page_id").write.partitionBy("page_id").text(folder)
+    sc.write_files(table(spark, d, "pages", "page_id", "html"), folder, "page_id", "html")
     return sc.scan_files(spark, folder, "part-*").select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("page_id"), "length", "sha256")

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from litquarry.functions.cells import row_fingerprint
 from litquarry.functions.core import first_non_blank, nz, seeded_order
 from litquarry.functions.identifiers import doi_normalise
+from litquarry.scale import spread
 
 CHUNK_DDL = ("document_id string, canonical_key string, doi string, chunk_id string, chunk_index int, content_type string, section_path string, "
              "paragraph_index int, sentence_start int, sentence_end int, title string, text string, source_pdf string, source_tei string, "
@@ -81,6 +87,45 @@ def scan_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def write_files(rows: DataFrame, folder: str, key: str, text: str) -> None:
+    """A file ``key=value/part-0.txt`` for each key below ``folder``: its texts, each with a line feed behind.
+
+    Tasks write their files and put them in place by a rename, so that a task run twice leaves the same files and the driver
+    has none to commit. The folder is one that every executor shares and that ``pyarrow.fs`` reaches.
+    """
+    placed = spread(rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")), "key").sortWithinPartitions("key")
+    root = folder if ":" in folder else f"file://{folder}"
+    root = re.sub("^file:/+", "file:///", root)
+    shared, top = fs.FileSystem.from_uri(root)
+    shared.create_dir(top)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = fs.FileSystem.from_uri(root)
+        n, last, out = 0, None, None
+        own = uuid.uuid4().hex
+
+        def done():
+            out.close()
+            store.move(f"{last}/.{own}", f"{last}/part-0.txt")
+
+        for batch in batches:
+            for value, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                at = f"{top}/{key}={'__HIVE_DEFAULT_PARTITION__' if value is None else quote(value, safe='')}"
+                if at != last:
+                    if out is not None:
+                        done()
+                    store.create_dir(at)
+                    out, last, n = store.open_output_stream(f"{at}/.{own}"), at, n + 1
+                if body.is_valid:
+                    out.write(body.as_buffer())
+                out.write(b"\n")
+        if out is not None:
+            done()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    placed.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def read_manifest(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """CSV with quoted multi-line fields; a byte-order mark on the first header is removed."""
     df = (spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", encoding).csv(path))
