@@ -36,3 +36,24 @@ def test_copies_in_cells(spark, limit):
     want = {(i, j) for i, j in zip(*np.nonzero(1 - u @ u.T < limit)) if i < j}
     found = cl.cosine_pairs(spark.createDataFrame(_rows(m), "id long, vector array<double>"), limit, block_rows=32).collect()
     assert len(found) == len(want) and {(r.a, r.b) for r in found} == want
+
+
+@pytest.mark.parametrize("at_once", [4, 64, 1 << 20])
+def test_components_by_few_links(spark, monkeypatch, at_once):
+    monkeypatch.setattr(cl, "LINKS_AT_ONCE", at_once)
+    pairs = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(40)] + [(300, 300), (7, 7), (200, 201)]
+    rng = np.random.default_rng(3)
+    pairs = [pairs[i] for i in rng.permutation(len(pairs))]
+    found = cl.connected_components(spark.createDataFrame(pairs, "a long, b long").repartition(5)).collect()
+    want = {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 141)}, 300: 300, 200: 200, 201: 200}
+    assert len(found) == len(want) and {r.id: r.component for r in found} == want
+
+
+def test_components_take_few_jobs(spark, monkeypatch):
+    """Plans of rounds fill the driver's memory; few links are joined at once."""
+    calls, stored = [], cl.stored
+    monkeypatch.setattr(cl, "stored", lambda df: calls.append(1) or stored(df))
+    monkeypatch.setattr(cl, "cut", lambda df: calls.append(1) or df.checkpoint())
+    chain = spark.createDataFrame([(i, i + 1) for i in range(500)], "a long, b long").repartition(8)
+    assert {r.component for r in cl.connected_components(chain).collect()} == {0}
+    assert len(calls) <= 2
