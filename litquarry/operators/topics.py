@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from litquarry.functions.core import ratio, round_half_up, tokens
 from litquarry.scale import cut, same_key, small_side, spread
 from litquarry.functions.identifiers import clean_keyword, keyword_key
+from litquarry.operators.retrieval import _changes, _whole_groups
 
+PHRASE_WORDS = 1 << 18  # words of texts whose phrases are counted at once, or one text
+OUT_ROWS = 1 << 16
 SAME_ID_TEXTS = 32  # texts of one id that one task may count
 
 # Words that never make a keyword and phrases that come first.
@@ -85,22 +93,96 @@ def phrase_scores(docs: DataFrame) -> DataFrame:
     docs = docs.select("document_id", "title", "text")
     many = cut(docs.groupBy("document_id").agg(F.count("*").alias("_n")).where((F.col("_n") > SAME_ID_TEXTS) | F.col("document_id").isNull()).select("document_id"))
     if many.isEmpty():
-        return _phrase_sums(spread(docs, "document_id"))
+        return _phrase_sums(spread(docs, "document_id"), True)
     many = small_side(many)
     few = docs.join(many, same_key(docs, many, ["document_id"]), "left_anti")
-    return _phrase_sums(spread(few, "document_id")).unionByName(_phrase_sums(docs.join(many, same_key(docs, many, ["document_id"]), "left_semi")))
+    return _phrase_sums(spread(few, "document_id"), True).unionByName(_phrase_sums(docs.join(many, same_key(docs, many, ["document_id"]), "left_semi"), False))
 
 
-def _phrase_sums(docs: DataFrame) -> DataFrame:
+def _phrase_sums(docs: DataFrame, together: bool) -> DataFrame:
+    """``phrase_scores`` of texts; with ``together`` all texts of an id are in one task."""
     raw = F.transform(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z-]{2,}"), F.lit(0)), lambda w: F.btrim(F.lower(w), F.lit("-")))
     words = F.filter(raw, lambda w: ~w.isin(STOPWORDS) & (F.length(w) >= 4))
-    t = docs.select("document_id", words.alias("_w"), F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit(r"[a-z][a-z-]{2,}"), F.lit(0))).alias("_t"))
-    numbered = lambda n: F.transform(ngrams(F.col("_w"), n), lambda phrase, pos: F.struct(F.lit(n).alias("n"), pos.alias("pos"), phrase.alias("phrase")))
-    grams = F.concat(*[numbered(n) for n in (1, 2, 3)])
-    hits = F.size(F.filter(F.split("phrase", " "), lambda w: F.array_contains(F.col("_t"), w)))
-    used = t.select("document_id", F.explode(grams).alias("g"), "_t").select("document_id", "g.*", "_t").where(F.length("phrase").between(4, 60)).select(
-        "document_id", "n", "pos", "phrase", hits.alias("title_words"))
-    return used.groupBy("document_id", "n", "phrase").agg(F.sum(1 + 2 * F.col("title_words")).alias("score"), F.min("pos").alias("first"), F.max("title_words").alias("title_words"))
+    title = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit(r"[a-z][a-z-]{2,}"), F.lit(0)))
+    ordered = docs.sortWithinPartitions("document_id") if together else docs
+    texts = ordered.select("document_id", words.alias("_w"), title.alias("_t"))
+    grams = texts.mapInArrow(_count_together if together else _count_apart, T.StructType([texts.schema["document_id"], T.StructField("n", T.IntegerType()), T.StructField("phrase", T.StringType()),
+                                                            T.StructField("score", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("title_words", T.IntegerType())]))
+    if together:
+        return grams
+    return grams.groupBy("document_id", "n", "phrase").agg(F.sum("score").alias("score"), F.min("first").alias("first"), F.max("title_words").alias("title_words"))
+
+
+def _count_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_count_phrases`` of rows in order of their id, each id counted once."""
+    for table in _whole_groups(batches):
+        batch = table.combine_chunks().to_batches()[0]
+        yield from _count_phrases(batch, np.flatnonzero(_changes(batch.columns[:1])))
+
+
+def _count_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from _count_phrases(batch, np.arange(batch.num_rows))
+
+
+def _count_phrases(batch: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows ``document_id, n, phrase, score, first, title_words`` of ``document_id, words, title words``, whose documents begin at ``starts``.
+
+    Words are numbered in a piece of a batch, so a phrase is a number as well and is written out once for each document.
+    """
+    if batch.num_rows:
+        document = np.cumsum(np.isin(np.arange(batch.num_rows), starts)) - 1
+        at = 0
+        sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy()
+        ends = np.cumsum(sizes)
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + PHRASE_WORDS, "right")))
+            to = int(np.append(starts, batch.num_rows)[np.searchsorted(starts, to)])
+            piece, doc_of, alone = batch.slice(at, to - at), document[at:to], len(np.unique(document[at:to])) == to - at
+            of, lists = sizes[at:to], piece.column(1)
+            at = to
+            if not of.sum():
+                continue
+            words = lists.flatten().dictionary_encode()
+            code, known = words.indices.to_numpy().astype("int64"), len(words.dictionary)
+            text = np.repeat(np.arange(piece.num_rows), of)
+            pos = np.arange(len(code)) - np.repeat(np.cumsum(of) - of, of)
+            titles = piece.column(2)
+            named = pc.fill_null(pc.index_in(titles.flatten(), value_set=words.dictionary), -1).to_numpy()
+            owner = np.repeat(np.arange(piece.num_rows), pc.fill_null(pc.list_value_length(titles), 0).to_numpy())
+            in_title = np.isin(text * known + code, (owner * known + named)[named >= 0]).astype("int32")
+            phrase, hits, written = code, in_title, words.dictionary
+            for n in (1, 2, 3):
+                if n > 1:  # a phrase goes on with the word behind it in its text
+                    here = np.flatnonzero(pos[:len(pos) - n + 1] + n <= of[text[:len(pos) - n + 1]])
+                    both = phrase[here] * known + code[here + n - 1]
+                    held, number = np.unique(both, return_inverse=True)
+                    written = pc.binary_join_element_wise(written.take(pa.array(held // known)), words.dictionary.take(pa.array(held % known)), " ")
+                    phrase, hits = np.full(len(code), -1), hits.copy()
+                    phrase[here] = number
+                    hits[here] += in_title[here + n - 1]
+                else:
+                    here = np.arange(len(code))
+                if not len(here):
+                    break
+                key, first, uses = np.unique(text[here] * len(written) + phrase[here], return_index=True, return_counts=True)
+                named_words, first = hits[here[first]].astype("int64"), pos[here[first]]
+                score = uses * (1 + 2 * named_words)
+                if not alone:
+                    key = (doc_of[key // len(written)] - doc_of[0]) * len(written) + key % len(written)
+                    order = np.argsort(key, kind="stable")
+                    key, begin = np.unique(key[order], return_index=True)
+                    score, first, named_words = (f.reduceat(x[order], begin) for f, x in ((np.add, score), (np.minimum, first), (np.maximum, named_words)))
+                    key = np.searchsorted(doc_of, key // len(written) + doc_of[0]) * len(written) + key % len(written)  # by the first text again
+                length = pc.utf8_length(written).to_numpy()[key % len(written)]
+                ok = np.flatnonzero((length >= 4) & (length <= 60))
+                for lo in range(0, len(ok), OUT_ROWS):
+                    part = ok[lo:lo + OUT_ROWS]
+                    own = pa.array(key[part] // len(written))
+                    yield pa.RecordBatch.from_arrays([
+                        piece.column(0).take(own), pa.array(np.full(len(part), n, "int32")), written.take(pa.array(key[part] % len(written))),
+                        pa.array(score[part]), pa.array(first[part].astype("int32")), pa.array(named_words[part].astype("int32"))],
+                        names=["document_id", "n", "phrase", "score", "first", "title_words"])
 
 
 def generated_keywords(docs: DataFrame, shortlist: int = 30, limit: int = 8) -> DataFrame:
