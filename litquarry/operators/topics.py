@@ -93,14 +93,15 @@ def phrase_scores(docs: DataFrame) -> DataFrame:
     docs = docs.select("document_id", "title", "text")
     many = cut(docs.groupBy("document_id").agg(F.count("*").alias("_n")).where((F.col("_n") > SAME_ID_TEXTS) | F.col("document_id").isNull()).select("document_id"))
     if many.isEmpty():
-        return _phrase_sums(spread(docs, "document_id"), True)
+        return _phrase_sums(spread(docs, "document_id"))
     many = small_side(many)
     few = docs.join(many, same_key(docs, many, ["document_id"]), "left_anti")
-    return _phrase_sums(spread(few, "document_id"), True).unionByName(_phrase_sums(docs.join(many, same_key(docs, many, ["document_id"]), "left_semi"), False))
+    return _phrase_sums(spread(few, "document_id")).unionByName(_phrase_sums(docs.join(many, same_key(docs, many, ["document_id"]), "left_semi").withColumn("_apart", F.lit(True))))
 
 
-def _phrase_sums(docs: DataFrame, together: bool) -> DataFrame:
-    """``phrase_scores`` of texts; with ``together`` all texts of an id are in one task."""
+def _phrase_sums(docs: DataFrame) -> DataFrame:
+    """``phrase_scores`` of texts, all those of an id in one task; with a column ``_apart`` they are in many."""
+    together = "_apart" not in docs.columns
     raw = F.transform(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z-]{2,}"), F.lit(0)), lambda w: F.btrim(F.lower(w), F.lit("-")))
     words = F.filter(raw, lambda w: ~w.isin(STOPWORDS) & (F.length(w) >= 4))
     title = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit(r"[a-z][a-z-]{2,}"), F.lit(0)))
